@@ -6,11 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..queries import Registry
 from ..session import table
-from . import leakage, packing, residue, similar, splitting
+from . import leakage, packing, residue, scans, similar, splitting
 
 R = Registry()
 
 
+@R.add()
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noisy_records(table(spark, sf_dir, "paper_pages"), table(spark, sf_dir, "chunks"))
+
+
+@R.add()
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(table(spark, sf_dir, "paper_pages"), table(spark, sf_dir, "chunks"))
+
+
 @R.add(sql="SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 900")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.pieces(table(spark, sf_dir, "chunks")).select("chunk_id").distinct()
