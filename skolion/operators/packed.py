@@ -28,7 +28,7 @@ class Notation:
     names: bool = False
 
 
-AUTHORS = Notation(words=r"(?:[,;]?\s+(?:and|&)\s+)", names=True)
+AUTHORS = Notation(words=r"(?:[,;]?\s+(?:and|AND|&)\s+)", names=True)
 LABELS = Notation()
 
 

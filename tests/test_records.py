@@ -56,6 +56,7 @@ CASES = [
     ("Al Bee, Jo Li, and Ed Foe", ["Al Bee", "Jo Li", "Ed Foe"]),
     ("Roe, Jo ; Poe, Al", ["Roe, Jo", "Poe, Al"]),
     ("Roe, Jo and Poe, Al M.", ["Roe, Jo", "Poe, Al M."]),
+    ("Roe, Jo AND Poe, Al", ["Roe, Jo", "Poe, Al"]),
     ('"Roe, J. K.", Al Poe,', ["Roe, J. K.", "Al Poe"]),
     ('["Al ""X"" Poe", "Jo \\"Y\\" Roe"]', ['Al "X" Poe', 'Jo "Y" Roe']),
     ("Al Poe,, Jo Roe; ;Ed Coe | Bo Loe & Cy Noe", ["Al Poe", "Jo Roe", "Ed Coe", "Bo Loe", "Cy Noe"]),
