@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..queries import Registry
+from ..queries.records import author_values
 from ..session import table
-from . import leakage, packing, residue, scans, similar, splitting
+from . import leakage, names, packing, residue, scans, similar, splitting
 
 R = Registry()
 
 
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = author_values(table(spark, sf_dir, "papers")).select(F.col("item_value").alias("name"))
+    requests = table(spark, sf_dir, "ingest_requests").select(F.explode(F.split("authors", "; ")).alias("name"))
+    return names.entities(packed.unionByName(requests))
+
+
+@R.add()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variant_pairs(_entities(spark, sf_dir))
+
+
+@R.add()
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir)
+
+
 @R.add()
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.noisy_records(table(spark, sf_dir, "paper_pages"), table(spark, sf_dir, "chunks"))
