@@ -29,10 +29,10 @@ class Registry:
 
 def load() -> Registry:
     """All queries of the core."""
-    from . import records
+    from . import records, retrieval
 
     every = Registry()
-    for module in (records,):
+    for module in (records, retrieval):
         every.queries |= module.R.queries
         every.sql |= module.R.sql
     return every
