@@ -21,6 +21,11 @@ def _c(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def stripped(c: Column) -> Column:
+    """Without outer white space. It takes one argument: transform() would pass a second one to F.trim."""
+    return F.regexp_replace(c, f"^{BLANK}|{BLANK}$", "")
+
+
 def words(c: Column | str) -> Column:
     """Pieces between white space; none for null or empty texts."""
     return F.filter(F.split(_c(c), BLANK), lambda w: w != "")
@@ -44,7 +49,7 @@ def title_query(c: Column | str) -> Column:
 
 def listed(c: Column | str) -> Column:
     """Trimmed parts between commas, without empty ones."""
-    return F.filter(F.transform(F.split(_c(c), ","), F.trim), lambda w: w != "")
+    return F.filter(F.transform(F.split(_c(c), ","), stripped), lambda w: w != "")
 
 
 def normalised(c: Column | str) -> Column:
@@ -80,7 +85,7 @@ def without_version(c: Column | str) -> Column:
 
 
 def _pieces(c: Column | str) -> Column:
-    return F.transform(F.split(F.replace(_c(c), F.lit("\n"), F.lit(" ")), r"(?<=[.!?])\s+"), F.trim)
+    return F.transform(F.split(F.replace(_c(c), F.lit("\n"), F.lit(" ")), r"(?<=[.!?])\s+"), stripped)
 
 
 def boilerplate(s: Column) -> Column:

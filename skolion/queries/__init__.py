@@ -29,10 +29,10 @@ class Registry:
 
 def load() -> Registry:
     """All queries of the core."""
-    from . import records, retrieval
+    from . import corpus, records, retrieval
 
     every = Registry()
-    for module in (records, retrieval):
+    for module in (records, retrieval, corpus):
         every.queries |= module.R.queries
         every.sql |= module.R.sql
     return every

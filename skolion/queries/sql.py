@@ -21,7 +21,7 @@ def terms(c: str) -> str:
 
 def sentences(c: str) -> str:
     """Trimmed sentences of a text."""
-    return rf"list_transform(string_split(regexp_replace(replace(coalesce({c}, ''), chr(10), ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(13)))"
+    return rf"list_transform(string_split(regexp_replace(replace(coalesce({c}, ''), chr(10), ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(regexp_replace(x, '^{BLANK}', ''), '{BLANK}$', ''))"
 
 
 def boilerplate(x: str) -> str:
