@@ -29,10 +29,10 @@ class Registry:
 
 def load() -> Registry:
     """All queries of the core."""
-    from . import corpus, records, retrieval
+    from . import corpus, graphs, records, retrieval
 
     every = Registry()
-    for module in (records, retrieval, corpus):
+    for module in (records, retrieval, corpus, graphs):
         every.queries |= module.R.queries
         every.sql |= module.R.sql
     return every
