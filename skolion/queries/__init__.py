@@ -29,10 +29,10 @@ class Registry:
 
 def load() -> Registry:
     """All queries of the core."""
-    from . import answering, corpus, graphs, records, retrieval
+    from . import answering, corpus, graphs, online, records, retrieval
 
     every = Registry()
-    for module in (records, retrieval, corpus, graphs, answering):
+    for module in (records, retrieval, corpus, graphs, answering, online):
         every.queries |= module.R.queries
         every.sql |= module.R.sql
     return every
