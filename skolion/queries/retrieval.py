@@ -277,3 +277,25 @@ def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
 
     return delivery_log(spark, sf, "chunks").kept(["chunk_id", "paper_id", "text", "page_start", "page_end"])
 
+
+
+@R.add()
+def settings_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A grid of mixing weights and pool sizes by mean NDCG over the documents of relevant papers."""
+    from ..plans import tuning
+
+    d = docs(spark, sf)
+    rel = gold_relevance(spark, sf).withColumnRenamed("id", "paper_id").join(d.select("doc_id", "paper_id"), "paper_id").select("qid", F.col("doc_id").alias("id")).distinct()
+    lex = best(bm25_scores(spark, sf), POOL).where("score > 0")
+    return tuning.trials(lex, dense_pool(spark, sf), tuning.grid(spark, list(LAMBDAS), [20, 100]), rel)
+
+
+@R.add(
+    sql="""WITH f AS (SELECT paper_id, posn, avg(x) AS x FROM (SELECT paper_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS posn FROM paper_vectors WHERE embedding IS NOT NULL) GROUP BY 1, 2)
+SELECT paper_id, round(sqrt(sum(x * x)), 6) AS size, round(sum(x), 6) AS total FROM f GROUP BY 1"""
+)
+def paper_meanpool(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean vector of every paper over its rows, by its length and sum."""
+    pooled = dense.mean_pool(table(spark, sf, "paper_vectors"), "paper_id", "embedding")
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    return pooled.select("paper_id", F.round(V.norm(F.col("embedding")), 6).alias("size"), F.round(total, 6).alias("total"))
