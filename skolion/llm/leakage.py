@@ -105,7 +105,8 @@ def occurrences(docs: DataFrame, key: str, text: str, wanted: np.ndarray) -> Dat
                     n += [len(w)] * len(hit)
                     shingle.append(s[hit].view(np.int64))
                     at.append(hit)
-            yield pd.DataFrame({"doc": doc, "n_words": n, "shingle": np.concatenate(shingle) if shingle else [], "at": np.concatenate(at) if at else []})
+            if doc:  # an empty frame has no types
+                yield pd.DataFrame({"doc": doc, "n_words": n, "shingle": np.concatenate(shingle), "at": np.concatenate(at)})
 
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).where(F.col("doc").isNotNull() & F.col("t").isNotNull())

@@ -233,3 +233,17 @@ def test_repair(scanned):
     assert set(out) == {f"p#{n}" for n in noisy} | {"p::2", "p::4", "p::6"}
     assert "Page 81" not in out["p#81"] and "sentence of it" in out["p#85"] and "rnodel" not in out["p#84"] and "reads" in out["p#86"]
     assert scans.noisy_records(pages.limit(0), chunks.limit(0)).count() == 0
+
+
+def test_tasks_without_rows(spark, tmp_path):
+    """Files of fewer rows than tasks leave some tasks without any."""
+    spark.createDataFrame([("p", 1, "Some text of a page. " * 20, 0, 420)], "paper_id string, page_number int, text string, char_start int, char_end int").write.parquet(str(tmp_path / "p"))
+    pages = spark.read.parquet(str(tmp_path / "p")).repartition(4)
+    chunks = spark.createDataFrame([("p::0", "p", "Some text of a page.", 0)], "chunk_id string, paper_id string, text string, char_start int").repartition(4)
+    assert scans.noisy_records(pages, chunks).count() == scans.repaired(pages, chunks).count() == 0
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string").repartition(4)
+    items = spark.createDataFrame([(2, "x " * 12)], "item_id bigint, question string").repartition(4)
+    assert leakage.leaked(docs, items, fields=("question",)).count() == 0
+    assert names.entities(spark.createDataFrame([("?",)], "name string").repartition(4)).count() == 1
+    assert packing.pack(packing.token_counts(docs)).count() == 1
+    assert similar.neighbours(spark.createDataFrame([("a", [1.0])], "paper_id string, embedding array<float>").repartition(4)).count() == 0
