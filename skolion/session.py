@@ -50,10 +50,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores for work that costs much more than its bytes tell; small data would be put in one task."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores, by keys if there are any, for work that costs much more than its bytes tell; small data
+    would be put in one task."""
     spark = df.sparkSession
-    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
