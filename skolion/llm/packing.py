@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise, spread
+
 if TYPE_CHECKING:
     import pandas as pd
 
@@ -117,7 +119,7 @@ def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
         windows += 1
 
 
-def pack(counts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group: int = GROUP, rows_known: int | None = None) -> DataFrame:
+def pack(counts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """(key, copy, piece_no, window_id, token_start, token_end, n_tokens) for every part of every document.
 
     Parts of one window sum up to at most `capacity`. Only documents longer than a window are split, into full
@@ -127,9 +129,8 @@ def pack(counts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group
     if capacity < 1:
         raise ValueError("a window holds at least one token")
     rows = counts.groupBy(key, "n_tokens").count().select(key, "n_tokens", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy"))
-    # as many groups as documents need; a caller who knows their number spares counting, which tokenizes
-    n = counts.count() if rows_known is None else rows_known
-    groups = max(1, -(-n // group))
+    rows = materialise(rows)  # read three times below; a document is two numbers
+    groups = max(1, -(-rows.count() // group))
     rows = rows.withColumn("g", F.pmod(F.xxhash64(key, "copy"), F.lit(groups)).cast("int"))
     full = F.floor(F.col("n_tokens") / capacity).cast("int")
     whole = rows.where(full > 0).select(key, "copy", "g", F.posexplode(F.array_repeat(F.lit(capacity), full)).alias("piece_no", "n_tokens"))
@@ -150,4 +151,5 @@ def pack(counts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group
 
     columns = [key, "copy", "piece_no", "window_id", "token_start", "token_end", "n_tokens"]
     schema = f"`{key}` {dict(counts.dtypes)[key]}, copy int, piece_no int, window_id string, token_start int, token_end int, n_tokens int"
-    return whole.select(*columns).unionByName(rest.groupBy("g").applyInPandas(one, schema))
+    # packing costs much more than its bytes tell, so its tasks aren't merged by size
+    return whole.select(*columns).unionByName(spread(rest, "g").groupBy("g").applyInPandas(one, schema))

@@ -64,8 +64,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add()
 def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return packing.pack(packing.token_counts(docs), rows_known=docs.count())
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")))
 
 
 def _words(column: str) -> str:
