@@ -116,6 +116,18 @@ def injected(c: Column | str) -> Column:
     return _c(c).rlike("(?i)" + "|".join(INJECTIONS))
 
 
+#: Fixed value: the namespace of point ids.
+NAMESPACE = "12345678-1234-5678-1234-567812345678"
+
+
+def point_id(c: Column | str, namespace: str = NAMESPACE) -> Column:
+    """The name-based UUID (version 5) of a string, null for null."""
+    name = F.col(c) if isinstance(c, str) else c
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
 def hash_bucket(word: Column, size: int = 384) -> Column:
     """The word's md5 as a 128-bit number modulo size."""
     half = lambda at: F.conv(F.substring(F.md5(word), at, 16), 16, 10).cast("decimal(20,0)")

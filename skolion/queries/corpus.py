@@ -49,7 +49,7 @@ def page_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("paper_id", "page_number", "char_start", (F.col("char_end") - F.col("char_start")).alias("size"))
 
 
-_REQUEST = "paper_id, title, authors, venue, year, topic, delivery_id"
+_REQUEST = "paper_id, title, authors, venue, topic, delivery_id"
 
 
 @R.add(sql=f"SELECT {_REQUEST} FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY received_at DESC NULLS LAST, delivery_id DESC) rn FROM ingest_requests) WHERE rn = 1")
@@ -123,9 +123,9 @@ def split_gold(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.split(table(spark, sf, "gold_qa").select("item_id"), "item_id", 0.6)
 
 
-@R.add(sql=f"SELECT doc_id, {S.tokens('text')} AS tokens, len({S.words('text')})::INT AS n_tokens, substr(sha256(coalesce(text, '')), 1, 16) AS sha256 FROM documents")
+@R.add(sql=f"SELECT doc_id, array_to_string({S.tokens('text')}, ' ') AS tokens, len({S.words('text')})::INT AS n_tokens, substr(sha256(coalesce(text, '')), 1, 16) AS sha256 FROM documents")
 def text_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.bm25_tokens("text").alias("tokens"), T.token_count("text").alias("n_tokens"), T.short_hash("text").alias("sha256"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(T.bm25_tokens("text"), " ").alias("tokens"), T.token_count("text").alias("n_tokens"), T.short_hash("text").alias("sha256"))
 
 
 @R.add(sql=f"SELECT doc_id, unnest(list_filter({S.sentences('text')}, lambda s: length(s) > 25 AND NOT {S.boilerplate('s')})) AS sentence FROM documents")
@@ -138,9 +138,9 @@ def metric_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.explode(T.metric_sentences("text")).alias("sentence"))
 
 
-@R.add(sql=f"SELECT item_id, list_sort({S.content('question')}) AS content FROM gold_qa")
+@R.add(sql=f"SELECT item_id, array_to_string(list_sort({S.content('question')}), ' ') AS content FROM gold_qa")
 def question_content(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "gold_qa").select("item_id", F.sort_array(T.content_words("question")).alias("content"))
+    return table(spark, sf, "gold_qa").select("item_id", F.array_join(F.sort_array(T.content_words("question")), " ").alias("content"))
 
 
 @R.add(sql="SELECT chunk_id, delivery_id, CASE WHEN page_start = page_end THEN 'p.' || page_start ELSE 'pp.' || page_start || '-' || page_end END AS page_range, CASE WHEN length(text) > 280 THEN left(text, 280) || '…' ELSE text END AS snippet, split_part(chunk_id, 'v', 1) AS plain_id FROM chunks")
@@ -157,3 +157,12 @@ def cites_extract(spark: SparkSession, sf: str) -> DataFrame:
 @R.add(sql="SELECT doc_id, topic FROM documents WHERE topic = 'stream adaptation' AND contains(lower(text), lower('Drift'))")
 def substring_filter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where((F.col("topic") == "stream adaptation") & F.contains(F.lower("text"), F.lower(F.lit("Drift")))).select("doc_id", "topic")
+
+
+@R.add(
+    sql=f"""WITH h AS (SELECT delivery_id, sha1(from_hex('{T.NAMESPACE.replace("-", "")}') || encode(chunk_id)) AS h FROM chunks)
+SELECT delivery_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h"""
+)
+def point_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "chunks").select("delivery_id", T.point_id("chunk_id").alias("point_id"))
+

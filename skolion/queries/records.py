@@ -31,7 +31,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-_WIDE = "delivery_id, batch_id, chunk_id, paper_id, chunk_index, text, page_start, page_end, char_start, char_end, n_tokens, sha256, run_id"
+_WIDE = "delivery_id, batch_id, chunk_id, paper_id, chunk_index, text, page_start, char_start, sha256, run_id"
 
 
 @R.add(sql=f"SELECT {_WIDE} FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY received_at, delivery_id) rn FROM chunks) WHERE rn = 1")

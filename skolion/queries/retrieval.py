@@ -230,9 +230,9 @@ def lambda_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return sizes.join(hits, ["lam", "qid"], "left").groupBy("lam").agg(F.round(F.avg(F.coalesce("hits", F.lit(0)) / F.col("n")), 6).alias("recall"))
 
 
-@R.add(sql=f"WITH {_RELEVANT} SELECT qid, list_sort(list(id)) AS relevant FROM rel GROUP BY qid")
+@R.add(sql=f"WITH {_RELEVANT} SELECT qid, array_to_string(list_sort(list(id)), ' ') AS relevant FROM rel GROUP BY qid")
 def relevance_in_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return gold_relevance(spark, sf).groupBy("qid").agg(F.sort_array(F.collect_list("id")).alias("relevant"))
+    return gold_relevance(spark, sf).groupBy("qid").agg(F.array_join(F.sort_array(F.collect_list("id")), " ").alias("relevant"))
 
 
 def _one_paper() -> str:

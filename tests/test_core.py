@@ -48,6 +48,15 @@ def test_small_functions(spark):
     assert one(spark, T.snippet("t"), t="x" * 300) == "x" * 280 + "…"
 
 
+def test_point_ids(spark):
+    import uuid
+
+    names = ["1912.11637::0", "", "naïve ☃"]
+    df = spark.createDataFrame([(n,) for n in [*names, None]], "t string")
+    got = [r[0] for r in df.select(T.point_id("t")).collect()]
+    assert got == [str(uuid.uuid5(uuid.UUID(T.NAMESPACE), n)) for n in names] + [None]
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     rows = df.select(V.dot("a", "b").alias("d"), V.cosine(F.col("a"), F.col("b")).alias("c"), V.euclidean("a", "b").alias("e"), V.unit(F.col("a")).alias("u")).collect()
