@@ -38,6 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not known:
         known = spark.sparkContext.getCheckpointDir()
     if not known:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="skolion-checkpoint-", dir=os.environ.get("TMPDIR"))
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(known)

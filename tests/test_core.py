@@ -398,3 +398,24 @@ def test_running_and_rolling(spark):
     steps = online.numbered(spark.createDataFrame([(i * 7919, x) for i, x in enumerate(v)], "id bigint, v double").repartition(4), "id")
     assert [r[1] for r in values(online.running_mean(steps, "v"), "step", "mean")] == pytest.approx([np.mean(v[: i + 1]) for i in range(300)], abs=1e-6)
     assert [r[1] for r in values(online.rolling_mean(steps, "v", span=64), "step", "mean")] == pytest.approx([np.mean(v[max(0, i - 49) : i + 1]) for i in range(300)], abs=1e-6)
+
+
+def test_ingest_goes_on_where_it_stopped(spark, tmp_path):
+    from skolion.streaming.ingest import PAGES, first_arrivals, ingest_available
+
+    page = lambda p: spark.createDataFrame([(p, 1, "A sentence of the page. " * 20, 0, 480)], PAGES).coalesce(1)
+    src, out, cp = (str(tmp_path / d) for d in ("src", "out", "cp"))
+    page("a").write.mode("append").parquet(src)
+    ingest_available(spark, src, out, cp)
+    assert spark.read.parquet(out).count() == 1
+    page("b").write.mode("append").parquet(src)
+    for _ in range(2):
+        ingest_available(spark, src, out, cp)
+        assert values(spark.read.parquet(out), "chunk_id") == [("a::0",), ("b::0",)]
+    rows = spark.createDataFrame([("k", "2024-01-01", 1), ("k", "2024-01-02", 2), (None, "2024-01-01", 3), (None, "2024-01-01", 4), ("l", None, 5)], "id string, at string, n int")
+    rows.withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "m"))
+    stream = spark.readStream.schema("id string, at timestamp, n int").parquet(str(tmp_path / "m"))
+    q = first_arrivals(stream, "id", "at").writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = values(spark.table("firsts"), "n")
+    assert len(got) == 4 and {(3,), (4,), (5,)} <= set(got)
