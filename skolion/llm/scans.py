@@ -58,7 +58,8 @@ _HEADING = re.compile(r"^(?:\d{1,2}(?:\.\d+)*\.? )\s*[A-Z]")
 _ITEM = re.compile(r"^\s*(?:\([a-z\d]{1,3}\)|[a-z\d]{1,2}[.)]|[-•*])\s")
 _LETTERS = re.compile(r"[^\W\d_]+")
 HEADER, BODY, BREAK = 0, 1, 2
-FEATURES = 27
+#: Of the features, the first ones tell headers from text; all of them tell where a paragraph begins.
+OF_HEADERS, FEATURES = 27, 32
 
 
 # ---- words
@@ -166,6 +167,7 @@ def features(lines: list[str], known: frozenset[str]) -> np.ndarray:
     x[:, 0] = 1
     x[:, 16] = width < 140
     ends = [bool(s) and s.rstrip()[-1:] in ".!?:;\"')" for s in lines]
+    titled = [bool(_HEADING.match(s)) and len(s) < 60 for s in lines]
     for i, s in enumerate(lines):
         rank = min(i, n - 1 - i)
         short = len(s) < 0.75 * width and len(s) < 110
@@ -179,6 +181,11 @@ def features(lines: list[str], known: frozenset[str]) -> np.ndarray:
         f[14] = before and ends[i - 1] and len(lines[i - 1]) < 0.85 * width
         f[15] = bool(_ITEM.match(s))
         f[17] = before and ends[i - 1]
+        f[27] = before and titled[i - 1]
+        f[28] = titled[i]
+        f[29] = before and lines[i - 1].rstrip().endswith((".", "!", "?", ":")) and (len(lines[i - 1].rstrip()) < 0.85 * width or width > 140)
+        f[30] = before and not ends[i - 1] and not titled[i - 1] and len(lines[i - 1]) >= 0.85 * width
+        f[31] = not before and not first.islower()
         if not short:
             continue
         words = _LETTERS.findall(s)
@@ -207,17 +214,23 @@ def features(lines: list[str], known: frozenset[str]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LineModel:
-    weights: np.ndarray  # features x labels
+    weights: np.ndarray  # features of headers x labels
+    breaks: np.ndarray  # features, for a break against body
     moves: np.ndarray  # label x next label, logarithms
     starts: np.ndarray
 
-    def label(self, lines: list[str], known: frozenset[str]) -> list[int]:
-        """The most probable labels along the whole page."""
+    def label(self, lines: list[str], known: frozenset[str], headers: set[int] | None = None) -> list[int]:
+        """The most probable labels along the whole page; with headers, these lines are headers and no others are."""
         if not lines:
             return []
         x = features(lines, known)
-        e = x @ self.weights
+        e = x[:, :OF_HEADERS] @ self.weights
+        odds, rest = x @ self.breaks, np.logaddexp(e[:, BODY], e[:, BREAK])
+        e[:, BODY], e[:, BREAK] = rest - np.logaddexp(0, odds), rest - np.logaddexp(0, -odds)
         e[x[:, 4] == 0, HEADER] = -1e4  # a header is a short line
+        if headers is not None:
+            e[:, HEADER] = -1e4
+            e[sorted(headers), HEADER] = 1e4
         e = (e - np.logaddexp.reduce(e, axis=1, keepdims=True)).tolist()
         moves = self.moves.tolist()
         score, back = [s + v for s, v in zip(self.starts.tolist(), e[0])], []
@@ -275,6 +288,19 @@ def _invented_header(rng: np.random.Generator, words: list[str], page: int) -> s
     return f"{title[:40]} . . . {page}"
 
 
+def _fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights, features x labels, of a softmax regression."""
+    w = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    velocity = np.zeros_like(w)
+    for _ in range(500):
+        p = x @ w
+        p = np.exp(p - p.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        velocity = 0.9 * velocity + x.T @ (p - y) / len(x) + 2e-5 * w
+        w = w - 1.5 * velocity
+    return w
+
+
 def train(pages: list[str], known: frozenset[str], seed: int = 5) -> LineModel:
     """A model from pages without suspicious edge lines, with invented headers put into half of them."""
     rng = np.random.default_rng(seed)
@@ -322,19 +348,14 @@ def train(pages: list[str], known: frozenset[str], seed: int = 5) -> LineModel:
             for a, b in zip(y, y[1:]):
                 moves[a, b] += 1
     if not xs:
-        return LineModel(np.zeros((FEATURES, 3), np.float32) + np.array([-3, 1, 0], np.float32) / FEATURES, np.zeros((3, 3)), np.zeros(3))
+        return LineModel(np.zeros((OF_HEADERS, 3), np.float32) + np.array([-3, 1, 0], np.float32) / OF_HEADERS, np.full(FEATURES, -1 / FEATURES, np.float32), np.zeros((3, 3)), np.zeros(3))
     x, y = np.concatenate(xs), np.eye(3, dtype=np.float32)[np.concatenate(ys)]
-    w = np.zeros((FEATURES, 3), np.float32)
-    velocity = np.zeros_like(w)
-    for _ in range(500):
-        p = x @ w
-        p = np.exp(p - p.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        velocity = 0.9 * velocity + x.T @ (p - y) / len(x) + 2e-5 * w
-        w = w - 1.5 * velocity
+    w = _fitted(x[:, :OF_HEADERS], y)
+    text = y[:, HEADER] == 0
+    parts = _fitted(x[text], y[text, BODY:])
     # scores given the features already hold the labels' frequencies; moves are taken relative to them
     prior = y.mean(0) + 1e-9
-    return LineModel(w, np.log(moves / moves.sum(1, keepdims=True) / prior), np.log(starts / starts.sum() / prior) * 0.0)
+    return LineModel(w, parts[:, 1] - parts[:, 0], np.log(moves / moves.sum(1, keepdims=True) / prior), np.log(starts / starts.sum() / prior) * 0.0)
 
 
 # ---- records
@@ -437,19 +458,32 @@ def noisy_records(pages: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def rebuild(text: str, headers: Iterable[tuple[int, int]], fixes: dict[str, str], reader: Reader) -> str:
-    """The text with header lines dropped, cut words joined, misread words replaced and lines run into paragraphs."""
-    keep, at = [], 0
-    for s, e in sorted(headers):
-        keep.append(text[at : max(at, s)])
-        at = max(at, min(len(text), e + 1))
-    body = "".join([*keep, text[at:]])
-    # a cut word moves up whole, the line's end comes after it
-    body = _CUT_WHOLE.sub(lambda m: m[0] if m[1] in reader.known and m[2] in reader.known and m[1] + m[2] not in reader.known else m[1] + m[2] + m[3] + "\n", body)
+    """The text with header lines dropped, cut words joined, misread words replaced and lines run into
+    paragraphs by the sequence model's labels of the text's own lines. Lines of more than 140 characters aren't wrapped."""
+    spans, own, over, at = list(headers), text.split("\n"), set(), 0
+    for i, line in enumerate(own):
+        # offsets of a chunk may be off by the white space that it lost, and it may hold a part of a header only
+        if line and any(2 * (min(e, at + len(line)) - max(s, at)) >= len(line) for s, e in spans):
+            over.add(i)
+        at += len(line) + 1
+    labels = reader.model.label(own, reader.known, over)
+    lines, marks = [x for i, x in enumerate(own) if i not in over], [x for i, x in enumerate(labels) if i not in over]
+    body = "\n".join(lines)
+
+    # a cut word moves up whole, the line's end comes after it; a line that was its rest alone goes
+    def whole(m: re.Match) -> str:
+        if m[1] in reader.known and m[2] in reader.known and m[1] + m[2] not in reader.known:
+            return m[0]
+        i = body.count("\n", 0, m.start()) + 1
+        marks[i] = None if m[0].endswith("\n") else BODY
+        return m[1] + m[2] + m[3] + "\n"
+
+    body = _CUT_WHOLE.sub(whole, body)
     body = WORD.sub(lambda m: fixes.get(m[0], m[0]), body)
     body = _SPECK.sub("", body)
     lines = body.split("\n")
     width, out = _width(lines), ""
-    for i, (line, label) in enumerate(zip(lines, _plain_labels(lines))):
+    for i, (line, label) in enumerate(zip(lines, [x for x in marks if x is not None])):
         out += line if not i else (("\n" if label == BREAK or width > 140 else " ") + line)
     return out
 

@@ -235,6 +235,29 @@ def test_repair(scanned):
     assert scans.noisy_records(pages.limit(0), chunks.limit(0)).count() == 0
 
 
+def test_paragraphs_follow_the_labels_of_the_model():
+    """A break is where the sequence model says so, whatever the fixed rule says, in pages and in chunks alike."""
+    text = "Page 7\nthe model reads every word\nof the page be-\nfore it\nanswers the ques-\ntions\nand waits\n8"
+
+    class Model(scans.LineModel):
+        def label(self, lines, known, headers=None):
+            assert lines == text.split("\n") and headers == {0, 7}
+            return [scans.HEADER, scans.BODY, scans.BREAK, scans.BODY, scans.BODY, scans.BODY, scans.BREAK, scans.HEADER]
+
+    reader = scans.Reader(Model(None, None, None, None), frozenset())
+    out = scans.rebuild(text, [(0, 6), (len(text) - 1, len(text))], {}, reader)
+    assert out == "the model reads every word\nof the page before it answers the questions\nand waits"
+
+
+def test_given_headers_bind_the_labels():
+    rng = random.Random(6)
+    model = scans.train([_page(rng) for _ in range(40)], frozenset(WORDS))
+    lines = ["Page 3", *_page(rng).split("\n")]
+    assert model.label(lines, frozenset(WORDS))[0] == scans.HEADER
+    assert scans.HEADER not in model.label(lines, frozenset(WORDS), set())
+    assert [i for i, x in enumerate(model.label(lines, frozenset(WORDS), {4})) if x == scans.HEADER] == [4]
+
+
 def test_tasks_without_rows(spark, tmp_path):
     """Files of fewer rows than tasks leave some tasks without any."""
     spark.createDataFrame([("p", 1, "Some text of a page. " * 20, 0, 420)], "paper_id string, page_number int, text string, char_start int, char_end int").write.parquet(str(tmp_path / "p"))
