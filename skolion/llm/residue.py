@@ -1,9 +1,8 @@
 """Template residue, filler, error messages and script notices in place of real text.
 
-Every text is cut into lines and sentences. In each, numbers, addresses and dates are masked, and phrase and
-placeholder rules say whether it is residue beyond doubt, may be a message, or neither. What may be a message is
-grouped by the hash of its masked form over all sources, and counts where it recurs widely. Only hashes of
-segments that a rule touched are shuffled, never text.
+Every text is cut into lines and sentences. In each, numbers, addresses and dates are masked, and every segment is
+grouped by the hash of its masked form over all sources. Those that recur widely are classified by the rules for
+messages. Besides, phrase and placeholder rules say which segments are residue beyond doubt, were it a single one.
 """
 
 from __future__ import annotations
@@ -55,6 +54,14 @@ CUES = (
     "mantenimiento", "reload", "neu laden", "reconnectez", "vuelva a entrar", "réessayez", "inténtelo", "retry", "denied", "forbidden", "not found", "introuvable", "nicht gefunden", "timed? out", "captcha", "robot",
     r"\(code #\)", "ref #",
 )
+# Other forms of notices, for what recurs widely only.
+NOTICES = (
+    r"^(?:please|sorry|bitte|veuillez|por favor|désolé|lo sentimos|leider)\b", r"^(?:click|tap|press|refresh|wait|loading|subscribe|cliquez|klicken sie|haga clic|warten sie|attendez|espere|cargando|chargement)\b",
+    r"^(?:incident|request|support|trace)(?: id| no\.?| number| code)?\W*#\W*$", r"\b(?:try|come|check) (?:it )?(?:again|back) (?:later|soon|in #)",
+    r"\byour (?:account|access|address|browser|connection|device|password|request|subscription)\b", r"\bihre?[nm]? (?:abonnement|browser|gerät|konto|passwort|zugang|zugriff)\b", r"\bvotre (?:abonnement|accès|appareil|compte|connexion)\b", r"\bsu (?:acceso|conexión|cuenta|dispositivo|suscripción)\b",
+)
+#: A message has so many words at most.
+MESSAGE = 25
 # Sentences that report on such messages.
 TALK = (
     r"\bwe (?:study|write|count|counted|removed|report|found|discuss)\b", r"\b(?:were|was|are) (?:told|counted|removed|logged|parsed|dropped|excluded|asked)\b", r"\bcounts? as\b", r"\bsuch as\b", r"\b(?:pages|viewers?|sites|papers) (?:that|which)\b",
@@ -86,14 +93,16 @@ def masked(segment: Column) -> Column:
 
 @dataclass(frozen=True)
 class Recurrence:
-    """A message counts as widely recurring in so many documents of so many sources."""
+    """A segment recurs widely in so many documents of so many sources, or in `alone` documents of one source."""
 
     documents: int = 3
     sources: int = 2
+    alone: int = 10
 
 
 def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, source, h, sure) of every segment that a rule touches; sure where it is residue by itself."""
+    """(key, source, h, m, sure) of every segment: m is its masked form, null where it is too long for a message; sure
+    where it is residue by itself."""
     cut = docs.select(F.col(key).alias("k"), F.col(source).alias("src"), F.explode(F.split(F.col(text), _SPLIT)).alias("s")).where(F.trim("s") != "")
     # one look at single characters and plain strings spares most segments the long patterns
     signs = F.col("s").rlike(r"[{}<>$@%\[_]|&lt;|XX|TODO|TB[DA]|FIXME")
@@ -106,24 +115,27 @@ def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     repeats = F.col("low").rlike(r"^\W*(\S+)(?:\s+\S+){0,2}\s+\1(?:\W|$)")  # spares most segments the word lists
     filler = repeats & (F.size(words) >= 6) & (F.size(F.array_distinct(words)) <= 3)
     triggered = F.exists(F.array(*[F.lit(t) for t in TRIGGERS]), lambda t: F.contains(F.col("low"), t))
-    some = cut.where(signs | triggered | filler).select("*", F.explode(F.array(masked(F.col("s")))).alias("m"))
-    talk = F.col("m").rlike(_any(TALK))
-    sure = has_slot | filler | (F.col("m").rlike(_any(PHRASES)) & ~talk)
-    maybe = F.col("m").rlike(r"\b" + _any(CUES)) & ~talk & (F.size(words) <= 25)
-    said = some.select("k", "src", F.xxhash64("m").alias("h"), F.explode(F.array(F.struct(sure.alias("sure"), maybe.alias("maybe")))).alias("f"))
-    return said.select("k", "src", "h", "f.sure", "f.maybe").where("sure OR maybe")
+    some = cut.select("*", F.explode(F.array(F.struct(masked(F.col("s")).alias("m"), (signs | triggered | filler).alias("touched")))).alias("x")).select("*", "x.m", "x.touched")
+    sure = F.col("touched") & (has_slot | filler | (F.col("m").rlike(_any(PHRASES)) & ~F.col("m").rlike(_any(TALK))))
+    return some.select("k", "src", F.xxhash64("m").alias("h"), F.when(F.size(words) <= MESSAGE, F.col("m")).alias("m"), F.coalesce(sure, F.lit(False)).alias("sure"))
+
+
+def recurring(found: DataFrame, widely: Recurrence) -> DataFrame:
+    """(h): the segments that recur widely and are messages by the rules."""
+    # counted by source first, so that a segment which a third of all documents hold is small before the shuffle
+    by = found.select("h", "src", "k").distinct().groupBy("h", "src").count().groupBy("h").agg(F.sum("count").alias("n"), F.count("*").alias("sources"), F.max("count").alias("most"))
+    wide = by.where(((F.col("n") >= widely.documents) & (F.col("sources") >= widely.sources)) | (F.col("most") >= widely.alone)).select("h")
+    texts = found.where("m IS NOT NULL").join(wide, "h", "left_semi").groupBy("h").agg(F.min("m").alias("m"))
+    return texts.where((F.col("m").rlike(r"\b" + _any(CUES)) | F.col("m").rlike(_any(NOTICES))) & ~F.col("m").rlike(_any(TALK))).select("h")
 
 
 def residue(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", widely: Recurrence = Recurrence()) -> DataFrame:
     """(key): every document with at least one residue, once. Null and empty texts have none; a null source is a
     source; repeated rows count once for recurrence; other columns are not read."""
-    found = materialise(segments(docs, key, text, source).distinct())  # read twice below; a few rows of numbers
-    # counted by source first, so that a message which a third of all documents hold is small before the shuffle
-    messages = found.where("maybe AND NOT sure").groupBy("h", "src").count().groupBy("h").agg(F.sum("count").alias("n"), F.count("*").alias("sources"))
-    wide = messages.where((F.col("n") >= widely.documents) & (F.col("sources") >= widely.sources)).select("h")
+    found = materialise(segments(docs, key, text, source))  # read several times below
     sure = found.where("sure").select("k")
-    recurring = found.where("maybe AND NOT sure").select("k", "h").distinct().join(wide, "h", "left_semi").select("k")
-    return sure.unionByName(recurring).distinct().select(F.col("k").alias(key))
+    said = found.where("m IS NOT NULL").select("k", "h").join(recurring(found, widely), "h", "left_semi").select("k")
+    return sure.unionByName(said).distinct().select(F.col("k").alias(key))
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

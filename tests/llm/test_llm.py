@@ -168,6 +168,16 @@ def test_messages_count_where_they_recur(spark):
     assert sorted(r.doc_id for r in residue.residue(df).collect()) == [0, 1, 2, 3]
 
 
+def test_recurring_notices_outside_the_phrases(spark):
+    """Every segment is grouped; a notice that no phrase knows counts where it recurs, also within one source."""
+    rows = [(i, f"Real text number {'abc'[i]}{'xyz'[i]}. Incident {i}7.", f"s{i % 2}") for i in range(3)]
+    rows += [(10 + i, f"Your subscription does not cover volume {i}.", "large") for i in range(10)]
+    rows += [(30 + i, "Your connection is slow.", "small") for i in range(3)] + [(40, "Incident rates fell.", "s0"), (50, "Wait 5 minutes.", "s0")]
+    rows += [(60 + i, "Abstract", f"s{i % 3}") for i in range(12)] + [(80 + i, "The model reads every page.", f"s{i % 3}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert sorted(r.doc_id for r in residue.residue(df).collect()) == [0, 1, 2, *range(10, 20)]
+
+
 # ---- names
 
 
