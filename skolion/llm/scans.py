@@ -186,7 +186,7 @@ def features(lines: list[str], known: frozenset[str]) -> np.ndarray:
         f[29] = before and lines[i - 1].rstrip().endswith((".", "!", "?", ":")) and (len(lines[i - 1].rstrip()) < 0.85 * width or width > 140)
         f[30] = before and not ends[i - 1] and not titled[i - 1] and len(lines[i - 1]) >= 0.85 * width
         f[31] = not before and not first.islower()
-        if not short:
+        if not short and rank > 1:  # on a narrow page a running header is as long as any line
             continue
         words = _LETTERS.findall(s)
         number = bool(_NUMBER.match(s)) and len(s) < 24
@@ -196,7 +196,8 @@ def features(lines: list[str], known: frozenset[str]) -> np.ndarray:
         f[9] = bool(capital) and sum(w[0].isupper() for w in capital) >= 0.6 * len(capital)
         clean = bool(words) and sum(w.lower() in known or w in known for w in words) >= 0.99 * len(words)
         f[10] = clean
-        f[11] = bool(_CUE.search(s))
+        # a line of text may end with a number by chance; one as long as others must show more
+        f[11] = bool((_CUE if short else _STRONG).search(s))
         # a section's title is made of words that also stand within sentences; names of authors aren't
         f[12] = bool(_HEADING.match(s)) and bool(words) and sum(w.lower() in known for w in words) >= 0.6 * len(words)
         edge = rank <= 1
@@ -227,7 +228,6 @@ class LineModel:
         e = x[:, :OF_HEADERS] @ self.weights
         odds, rest = x @ self.breaks, np.logaddexp(e[:, BODY], e[:, BREAK])
         e[:, BODY], e[:, BREAK] = rest - np.logaddexp(0, odds), rest - np.logaddexp(0, -odds)
-        e[x[:, 4] == 0, HEADER] = -1e4  # a header is a short line
         if headers is not None:
             e[:, HEADER] = -1e4
             e[sorted(headers), HEADER] = 1e4

@@ -268,6 +268,15 @@ def test_given_headers_bind_the_labels():
     assert [i for i, x in enumerate(model.label(lines, frozenset(WORDS), {4})) if x == scans.HEADER] == [4]
 
 
+def test_headers_of_narrow_pages_may_be_as_long_as_lines():
+    rng = random.Random(8)
+    model = scans.train([_page(rng, width=w) for w in (7, 8, 9, 12) for _ in range(20)], frozenset(WORDS))
+    for head in ("Preprint. Under review by Duzonandez", "QUASTZEENG: STABLE SEARCH SPACE DESIGN FOR RAN", "Does a Cheap Head Help Forecasting . . . 8"):
+        lines = [head, *_page(rng, width=7).split("\n")]
+        assert len(head) >= 0.75 * scans._width(lines)
+        assert [i for i, label in enumerate(model.label(lines, frozenset(WORDS))) if label == scans.HEADER] == [0]
+
+
 def test_tasks_without_rows(spark, tmp_path):
     """Files of fewer rows than tasks leave some tasks without any."""
     spark.createDataFrame([("p", 1, "Some text of a page. " * 20, 0, 420)], "paper_id string, page_number int, text string, char_start int, char_end int").write.parquet(str(tmp_path / "p"))
