@@ -1,25 +1,31 @@
 """Template residue, filler, error messages and script notices in place of real text.
 
-Every text is cut into lines and sentences. In each, numbers, addresses and dates are masked, and every segment is
-grouped by the hash of its masked form over all sources. Those that recur widely are classified by the rules for
-messages. Besides, phrase and placeholder rules say which segments are residue beyond doubt, were it a single one.
+Numbers, addresses and dates of every text are masked, and the text is cut into lines and sentences. Every segment
+is counted by the hash of its masked form over all documents and sources. What recurs widely is classified once a
+hash by the placeholder and phrase rules and those for messages; what stands in few documents is residue only by the
+placeholder and phrase rules, which hold for a single case.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
+from functools import lru_cache
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 # Notations of unfilled slots.
 SLOTS = (
-    r"\{\{[^{}\n]{1,60}\}\}", r"[$#]\{[\w.]+\}", r"<%=?[^%>\n]{1,60}%>", r"\{%[^%}\n]{1,60}%\}", r"@@\w+@@", r"%\(\w+\)[sdf]",
-    r"%[A-Z][A-Z_]+%", r"(?<![\w%])%[sd]\b", r"(?<!\{)\{[a-z]+(?:_[a-z]+)*\}(?!\})", r"\{\d*(?::[^{}\s]{1,8})?\}", r"\[\[[^\[\]\n]{1,40}\]\]",
+    r"\{\{[^{}\n]{1,60}\}\}", r"[$#]\{[\w.#]+\}", r"<%=?[^%>\n]{1,60}%>", r"\{%[^%}\n]{1,60}%\}", r"@@[\w#]+@@", r"%\(\w+\)[sdf]",
+    r"%[A-Za-z][A-Za-z_]+%", r"(?<![\w%])%[sd]\b", r"(?<!\{)\{[a-z]+(?:_[a-z]+)*\}(?!\})", r"\{#?(?::[^{}\s]{1,8})?\}", r"\[\[[^\[\]\n]{1,40}\]\]",
     r"<<[A-Z][A-Z_]*>>", r"\[[A-Z]{3,}(?: [A-Z]+)*\]?", r"__[A-Z]{3,}__", r"\bXX+\.X+\b", r"\bX{3,}\b", r"</?[a-z]+(?:[ -][a-z]+){0,4} ?/?>",
     r"&lt;[a-z]+(?:[ -][a-z]+){0,4}&gt;", r"\[object Object\]", r"\b(?:TODO|TBD|TBA|FIXME)\b",
     r"(?i:\[(?:citation needed|your|insert|inserte|insérez|insérer|hier|add|enter|placeholder|name|title|abstract)\b[^\]\n]{0,60}\])",
@@ -54,14 +60,14 @@ CUES = (
     "mantenimiento", "reload", "neu laden", "reconnectez", "vuelva a entrar", "réessayez", "inténtelo", "retry", "denied", "forbidden", "not found", "introuvable", "nicht gefunden", "timed? out", "captcha", "robot",
     r"\(code #\)", "ref #",
 )
-# Other forms of notices, for what recurs widely only.
+# Other forms of notices, for what recurs widely only: requests, codes, words to the reader, failures.
 NOTICES = (
     r"^(?:please|sorry|bitte|veuillez|por favor|désolé|lo sentimos|leider)\b", r"^(?:click|tap|press|refresh|wait|loading|subscribe|cliquez|klicken sie|haga clic|warten sie|attendez|espere|cargando|chargement)\b",
     r"^(?:incident|request|support|trace)(?: id| no\.?| number| code)?\W*#\W*$", r"\b(?:try|come|check) (?:it )?(?:again|back) (?:later|soon|in #)",
-    r"\byour (?:account|access|address|browser|connection|device|password|request|subscription)\b", r"\bihre?[nm]? (?:abonnement|browser|gerät|konto|passwort|zugang|zugriff)\b", r"\bvotre (?:abonnement|accès|appareil|compte|connexion)\b", r"\bsu (?:acceso|conexión|cuenta|dispositivo|suscripción)\b",
+    r"\b(?:you|your|yours|vous|votre|vos|usted|ustedes)\b", r"\b(?:können|müssen|haben|werden|dürfen|sollten|möchten|ihnen|ihrem|ihren|ihr) sie\b", r"\bihre?[nm]? (?:abonnement|browser|gerät|konto|passwort|zugang|zugriff)\b", r"\bsu (?:acceso|conexión|cuenta|dispositivo|suscripción)\b",
+    r"\b(?:having|had|ran into) (?:some )?(?:trouble|problems)\b", r"^(?:http |error )?#:? (?:[\w-]+ ){0,3}(?:error|failed|failure|forbidden|gateway|timeout|unauthorized|unavailable)\b", r"^(?:bad gateway|gateway time-?out|internal server error|connection (?:refused|reset|timed out))\b", r"\b(?:fetch|request|loading|upload|download) failed\b *[.!]?$",
+    r"\b(?:can(?:not|'t| not)|could not|couldn't|unable to) (?:be )?(?:connect|display|displayed|load|loaded|open|opened|reach|reached|show|shown)\b",
 )
-#: A message has so many words at most.
-MESSAGE = 25
 # Sentences that report on such messages.
 TALK = (
     r"\bwe (?:study|write|count|counted|removed|report|found|discuss)\b", r"\b(?:were|was|are) (?:told|counted|removed|logged|parsed|dropped|excluded|asked)\b", r"\bcounts? as\b", r"\bsuch as\b", r"\b(?:pages|viewers?|sites|papers) (?:that|which)\b",
@@ -77,65 +83,144 @@ TRIGGERS = (
     "geladen", "gefunden", "no disponible", "caducado", "no se pudo", "no se encontró", "navega", "navigateur", "reload", "neu laden", "reconnectez", "vuelva a entrar", "réessayez", "inténtelo", "retry", "captcha", "robot", "(code ", "ref ",
 )
 
-_SPLIT = r"(?<=[.!?])\s+|[\r\n]+"
-
 
 def _any(patterns: tuple[str, ...]) -> str:
     return "(?:" + "|".join(patterns) + ")"
 
 
-def masked(segment: Column) -> Column:
-    """Lower case with addresses as @, dates and numbers as #, white space single."""
-    s = F.regexp_replace(F.lower(segment), r"\b(?:https?://|www\.)\S+|\S+@\S+\.\w+|(?<![\w/.])/[\w./-]+", "@")
-    s = F.regexp_replace(s, r"\b(?=[0-9a-f]*\d)[0-9a-f]{7,}\b|\d+(?:[.,:/-]\d+)*", "#")
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+_SPLIT = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
+_ADDRESS = re.compile(r"\b(?:https?://|www\.)\S+|(?<!\S)[^\s@]+@[^\s@]+\.\w+|(?<![^\s\"'(])/[\w./-]+")
+_NUMBER = re.compile(r"\b(?=[a-f]{0,40}\d)[0-9a-f]{7,}\b|\d+(?:[.,:/-]\d+)*")
+_SIGNS = re.compile(r"[{}<>$%\[_]|@@|&lt;|XX|TODO|TB[DA]|FIXME")
+_SLOT = re.compile(_any(SLOTS))
+# a slot that is named right before it is talked about; it goes before slots are looked for
+_NAMED_SLOT = re.compile(r"(?i:\b" + _any(NAMED) + r")\s+[\"'“„«`]?" + _any(SLOTS))
+_PHRASE, _TALK, _CUE, _NOTICE = (re.compile(p) for p in (_any(PHRASES), _any(TALK), r"\b" + _any(CUES), _any(NOTICES)))
+#: What a segment is: residue by itself, a message if it recurs widely, neither.
+SURE, MESSAGE, TEXT = 2, 1, 0
+
+
+@lru_cache(maxsize=1)
+def _triggers():  # noqa: ANN202
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for t in TRIGGERS:
+        found.add_word(t, t)
+    found.make_automaton()
+    return found
+
+
+def _touched(low: str) -> bool:
+    return next(_triggers().iter(low), None) is not None
+
+
+def masked(text: str) -> str:
+    """The text with addresses as @, numbers, dates and long hexadecimal ids as #."""
+    if "@" in text or "/" in text or "www." in text:
+        text = _ADDRESS.sub("@", text)
+    return _NUMBER.sub("#", text)
+
+
+def sure(m: str) -> bool:
+    """Whether a masked segment is residue by itself."""
+    low = m.lower()
+    if _SIGNS.search(m) and _SLOT.search(m) and _SLOT.search(_NAMED_SLOT.sub(" ", m)):
+        return True
+    words = low.split()
+    if len(words) >= 6 and len(set(words)) <= 3:
+        return True
+    return bool(_touched(low) and _PHRASE.search(low) and not _TALK.search(low))
+
+
+def classified(m: str) -> int:
+    """SURE, MESSAGE or TEXT for a masked segment."""
+    if sure(m):
+        return SURE
+    low = m.lower()
+    return MESSAGE if (_CUE.search(low) or _NOTICE.search(low)) and not _TALK.search(low) else TEXT
 
 
 @dataclass(frozen=True)
 class Recurrence:
-    """A segment recurs widely in so many documents of so many sources, or in `alone` documents of one source."""
+    """A segment recurs widely in so many documents of two sources or more, or in `alone` documents of one source."""
 
     documents: int = 3
-    sources: int = 2
     alone: int = 10
 
 
 def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, source, h, m, sure) of every segment: m is its masked form, null where it is too long for a message; sure
-    where it is residue by itself."""
-    cut = docs.select(F.col(key).alias("k"), F.col(source).alias("src"), F.explode(F.split(F.col(text), _SPLIT)).alias("s")).where(F.trim("s") != "")
-    # one look at single characters and plain strings spares most segments the long patterns
-    signs = F.col("s").rlike(r"[{}<>$@%\[_]|&lt;|XX|TODO|TB[DA]|FIXME")
-    # a slot that is named right before it is talked about; it goes before slots are looked for
-    named = r"(?i:\b" + _any(NAMED) + r")\s+[\"'“„«`]?" + _any(SLOTS)
-    has_slot = signs & F.col("s").rlike(_any(SLOTS)) & F.regexp_replace("s", named, " ").rlike(_any(SLOTS))
-    # explode() of one element keeps the optimiser from computing what is below once for every use above
-    cut = cut.select("*", F.explode(F.array(F.lower("s"))).alias("low"))
-    words = F.split(F.trim("low"), r"\s+")
-    repeats = F.col("low").rlike(r"^\W*(\S+)(?:\s+\S+){0,2}\s+\1(?:\W|$)")  # spares most segments the word lists
-    filler = repeats & (F.size(words) >= 6) & (F.size(F.array_distinct(words)) <= 3)
-    triggered = F.exists(F.array(*[F.lit(t) for t in TRIGGERS]), lambda t: F.contains(F.col("low"), t))
-    some = cut.select("*", F.explode(F.array(F.struct(masked(F.col("s")).alias("m"), (signs | triggered | filler).alias("touched")))).alias("x")).select("*", "x.m", "x.touched")
-    sure = F.col("touched") & (has_slot | filler | (F.col("m").rlike(_any(PHRASES)) & ~F.col("m").rlike(_any(TALK))))
-    return some.select("k", "src", F.xxhash64("m").alias("h"), F.when(F.size(words) <= MESSAGE, F.col("m")).alias("m"), F.coalesce(sure, F.lit(False)).alias("sure"))
+    """(k, src, h, m, sure) of every different segment of every row: its masked form and that form's hash, whatever
+    its length, the source's hash, and whether it is residue by itself."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+        import xxhash
+
+        digest = xxhash.xxh3_64_intdigest
+        for b in batches:
+            k, src, h, own, flags = [], [], [], [], []
+            for key_, text_, source_ in zip(b["k"], b["t"], b["s"]):
+                whole = masked(text_)
+                # most texts show no sign of the rules at all
+                odd = bool(_SIGNS.search(whole)) or _touched(whole.lower())
+                seen = set()
+                for segment in _SPLIT.split(whole):
+                    words = segment.split()
+                    if words:
+                        m = " ".join(words)
+                        if m not in seen:
+                            seen.add(m)
+                            own.append(m)
+                            h.append(digest(m) - (1 << 63))
+                            flags.append((odd or (len(words) >= 6 and len({w.lower() for w in words}) <= 3)) and sure(m))
+                k += [key_] * len(seen)
+                src += [digest(source_ or "") - (1 << 63) if source_ is not None else 0] * len(seen)
+            if k:  # an empty frame has no types
+                yield pd.DataFrame({"k": pd.array(k, dtype=b["k"].dtype) if b["k"].dtype != object else k, "src": src, "h": h, "m": own, "sure": flags})
+
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(source).alias("s")).where(F.col("k").isNotNull() & (F.length("t") > 0))
+    return rows.mapInPandas(read, f"k {dict(docs.dtypes)[key]}, src bigint, h bigint, m string, sure boolean")
 
 
 def recurring(found: DataFrame, widely: Recurrence) -> DataFrame:
-    """(h): the segments that recur widely and are messages by the rules."""
-    # counted by source first, so that a segment which a third of all documents hold is small before the shuffle
-    by = found.select("h", "src", "k").distinct().groupBy("h", "src").count().groupBy("h").agg(F.sum("count").alias("n"), F.count("*").alias("sources"), F.max("count").alias("most"))
-    wide = by.where(((F.col("n") >= widely.documents) & (F.col("sources") >= widely.sources)) | (F.col("most") >= widely.alone)).select("h")
-    texts = found.where("m IS NOT NULL").join(wide, "h", "left_semi").groupBy("h").agg(F.min("m").alias("m"))
-    return texts.where((F.col("m").rlike(r"\b" + _any(CUES)) | F.col("m").rlike(_any(NOTICES))) & ~F.col("m").rlike(_any(TALK))).select("h")
+    """(k, h, m) of the segments that recur widely.
+
+    One shuffle of numbers, combined in the tasks first, so that a segment which a third of all documents hold is a
+    row a task; the least and the greatest source tell whether there are two.
+    """
+    by = found.groupBy("h").agg(F.count("*").alias("n"), F.min("src").alias("low"), F.max("src").alias("high"))
+    wide = by.where(((F.col("n") >= widely.documents) & (F.col("low") < F.col("high"))) | (F.col("n") >= widely.alone)).select("h")
+    return found.select("k", "h", "m").join(wide, "h", "left_semi")
+
+
+def messages(wide: DataFrame) -> DataFrame:
+    """(h): the widely recurring segments that are residue or messages; every hash is classified once."""
+
+    def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.loc[[classified(m) != TEXT for m in b["m"]], ["h"]]
+
+    return wide.groupBy("h").agg(F.min("m").alias("m")).mapInPandas(classify, "h bigint")
+
+
+def evidence(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", widely: Recurrence = Recurrence()) -> DataFrame:
+    """(key, recurring, single) of every document with a residue: whether one recurs widely, and whether one is
+    residue by itself.
+
+    Whole texts are read. Null and empty texts and null keys have no residue; a null source is a source; repeated
+    rows count as often as they occur; other columns are not read.
+    """
+    found = materialise(segments(docs, key, text, source))  # read three times below
+    wide = materialise(recurring(found, widely))
+    said = wide.join(messages(wide), "h", "left_semi").select("k", F.lit(True).alias("recurring"), F.lit(False).alias("single"))
+    alone = found.where("sure").select("k", F.lit(False).alias("recurring"), F.lit(True).alias("single"))
+    return said.unionByName(alone).groupBy("k").agg(F.max("recurring").alias("recurring"), F.max("single").alias("single")).withColumnRenamed("k", key)
 
 
 def residue(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", widely: Recurrence = Recurrence()) -> DataFrame:
-    """(key): every document with at least one residue, once. Null and empty texts have none; a null source is a
-    source; repeated rows count once for recurrence; other columns are not read."""
-    found = materialise(segments(docs, key, text, source))  # read several times below
-    sure = found.where("sure").select("k")
-    said = found.where("m IS NOT NULL").select("k", "h").join(recurring(found, widely), "h", "left_semi").select("k")
-    return sure.unionByName(said).distinct().select(F.col("k").alias(key))
+    """(key): every document with at least one residue, once; cases as for evidence()."""
+    return evidence(docs, key, text, source, widely).select(key)
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

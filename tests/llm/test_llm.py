@@ -178,6 +178,17 @@ def test_recurring_notices_outside_the_phrases(spark):
     assert sorted(r.doc_id for r in residue.residue(df).collect()) == [0, 1, 2, *range(10, 20)]
 
 
+def test_messages_that_no_single_rule_knows_count_by_recurrence(spark):
+    said = ["503 Backend fetch failed. Guru Meditation: XID 99{}", "We are having trouble showing you this article right now.", "Dear %recipient%, thanks for your order"]
+    long = "You can read the whole of this article, with all of its tables, its figures, its notes and its supplements, on any device that is connected with the network of a library that takes part in the programme, at any time."
+    rows = [(100 * j + i, f"Real text {i} stands here. {m.format(i)}\nMore of it.", f"s{i % 7}") for j, m in enumerate([*said, long]) for i in range(60)]
+    df = spark.createDataFrame([*rows, (900, long, "s0"[:1])], "doc_id bigint, text string, source string")
+    found = {r.doc_id: r for r in residue.evidence(df).collect()}
+    assert set(found) == {r[0] for r in rows} | {900} and all(r.recurring for r in found.values())
+    once = spark.createDataFrame([rows[0], rows[60], rows[180]], "doc_id bigint, text string, source string")
+    assert residue.evidence(once).count() == 0
+
+
 # ---- names
 
 
