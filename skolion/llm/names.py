@@ -1,10 +1,11 @@
 """Variant spellings of people and organisations: which spellings mean the same one.
 
-Every spelling is read into given name, initials and surname (or type, field and place), with case, accents,
-titles, order and nicknames undone. Spellings that agree in initial and surname become one node. Nodes meet where
-MinHash bands over padded q-grams of the surname (with the initial), or of the whole name, collide; a candidate
-pair is kept if its Monge-Elkan similarity is high and its letters differ by one slip at most; and star clustering
-assigns each rare spelling to the best of the names it may be a slip of.
+Every spelling is read into given name, initials and surname (or words and place), with case, accents, titles and
+order undone; spellings that read the same are one node, and nothing else is put together by a key. Nodes become
+candidates where MinHash bands over padded q-grams of one part of the name collide under another part as salt; a
+candidate pair is kept if its Monge-Elkan similarity is high, its letters differ by one slip at most, and the two
+forms aren't both names of their own; and star clustering assigns each node to the best of the names that it may
+be a form of.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from types import SimpleNamespace
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -28,11 +30,11 @@ if TYPE_CHECKING:
 
 # Nicknames and the names they stand for.
 NICKNAMES = {
-    "alexander": "alex al sasha sascha xander sandy", "anne-lise": "annelise", "benjamin": "ben benny benji", "christopher": "chris kit topher", "daniel": "dan danny", "dmitri": "dima mitya dmitry",
+    "alexander": "alex al sasha sascha xander sandy", "benjamin": "ben benny benji", "christopher": "chris kit topher", "daniel": "dan danny", "dmitri": "dima mitya dmitry",
     "edward": "ed eddie ned ted teddy", "ekaterina": "katya katia", "elizabeth": "liz beth betty lizzie eliza bess libby", "francisco": "paco pancho kiko curro", "frederik": "fred freddy fritz rik",
-    "giuseppe": "beppe peppe pino peppino", "gregory": "greg", "jean-marc": "jeanmarc", "jennifer": "jen jenny jenn", "johannes": "hannes hans jan joh", "josephine": "josie jo fifi", "katherine": "kate kathy katie kat kay",
-    "lorenzo": "renzo enzo", "margaret": "maggie peggy meg marge greta", "michael": "mike mick mickey", "mikhail": "misha", "nadia": "nadya", "nicholas": "nick nicky klaus", "oluwaseun": "seun", "otto": "", "patricia": "pat patty trish tricia",
-    "paloma": "", "priyanka": "pri", "rebecca": "becky becca", "richard": "dick rick rich richie ricky", "robert": "bob rob bobby robbie bert", "samuel": "sam sammy", "susanna": "sue susie sanna susan", "tadeusz": "tadek",
+    "giuseppe": "beppe peppe pino peppino", "gregory": "greg", "jennifer": "jen jenny jenn", "johannes": "hannes hans jan joh", "josephine": "josie jo fifi", "katherine": "kate kathy katie kat kay",
+    "lorenzo": "renzo enzo", "margaret": "maggie peggy meg marge greta", "michael": "mike mick mickey", "mikhail": "misha", "nadia": "nadya", "nicholas": "nick nicky klaus", "oluwaseun": "seun", "patricia": "pat patty trish tricia",
+    "priyanka": "pri", "rebecca": "becky becca", "richard": "dick rick rich richie ricky", "robert": "bob rob bobby robbie bert", "samuel": "sam sammy", "susanna": "sue susie sanna susan", "tadeusz": "tadek",
     "theodore": "theo ted teddy", "thomas": "tom tommy", "timothy": "tim timmy", "ulrike": "uli ulli rike", "victoria": "vicky vicki tori", "wilhelmina": "mina willa minnie", "william": "will bill billy willy liam", "zuzana": "zuzka zuza",
     "james": "jim jimmy jamie", "john": "jack johnny", "joseph": "joe joey", "charles": "charlie chuck", "henry": "harry hank", "andrew": "andy drew", "anthony": "tony", "matthew": "matt", "stephen": "steve", "david": "dave", "maria": "masha", "ivan": "vanya",
     "vladimir": "volodya vova", "natalia": "natasha", "tatiana": "tanya", "sergei": "seryozha", "jose": "pepe", "ignacio": "nacho", "guadalupe": "lupe", "giovanni": "gianni vanni", "luigi": "gigi", "deborah": "debbie", "barbara": "barb", "dorothy": "dot dolly", "helen": "nell",
@@ -48,6 +50,7 @@ TITLES = re.compile(r"^(?:(?:dr|prof|professor|mr|mrs|ms|miss|sir)\b\.?\s+)+", r
 
 _TYPE = {a: t for t, short in TYPES.items() for a in [t, *short.split()]}
 _LETTERS = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
+_SPELLED = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "å": "aa", "ø": "oe"})
 _INITIALS = re.compile(r"^(?:[^\W\d_]\.-?){1,4}$|^[^\W\d_]\.?$")
 
 
@@ -57,11 +60,10 @@ def fold(s: str) -> str:
     return "".join(c for c in s if not unicodedata.combining(c))
 
 
-def umlauts(s: str) -> str:
-    """ue, oe, ae and aa, as umlauts are also written, as one letter; for surnames and places."""
-    while (t := re.sub(r"([uoa])e", r"\1", s).replace("aa", "a")) != s:
-        s = t
-    return s
+def forms(s: str) -> list[str]:
+    """A word folded to plain letters; and, where it has an umlaut, also with the letters that stand for umlauts."""
+    low = s.lower()
+    return list(dict.fromkeys(plain(fold(x)) for x in (low, unicodedata.normalize("NFC", low).translate(_SPELLED))))
 
 
 _NICK: dict[str, list[str]] = {}
@@ -96,8 +98,8 @@ def slips(a: str, b: str, most: int = 3) -> int:
 
 
 def token_similarity(a: str, b: str) -> float:
-    """1 for equal words and for an initial of the other; else the share of letters without a slip."""
-    if a == b or (min(len(a), len(b)) == 1 and a[:1] == b[:1]):
+    """1 for equal words and for an initial or a shortening of the other; else the share of letters without a slip."""
+    if a == b or (min(len(a), len(b)) in (1, *range(3, 9)) and (a.startswith(b) or b.startswith(a))):
         return 1.0
     return 1 - slips(a, b) / max(len(a), len(b)) if a and b else 0.0
 
@@ -113,20 +115,19 @@ def monge_elkan(a: list[str], b: list[str]) -> float:
 
 @dataclass(frozen=True)
 class Read:
-    """kind p or o; given and surname folded; initial of the given name, middle ones; other names a nickname may
-    stand for. For organisations the type, its and its field's initials, and the place."""
+    """kind p: given names that the first word may stand for (itself first, with an umlaut's other notation, then the
+    names it is a nickname of), initials, and notations of the surname. Kind o: the words of the name, their
+    initials, and notations of the place."""
 
     kind: str
-    given: str
-    initial: str
-    middle: str
-    surname: str
-    others: tuple[str, ...] = ()
+    givens: tuple[str, ...]
+    initials: str
+    surnames: tuple[str, ...]
+    nick: bool = False
 
-
-def _given(token: str) -> tuple[str, tuple[str, ...]]:
-    names = _NICK.get(token)
-    return (names[0], tuple(names[1:])) if names else (token, ())
+    @property
+    def node(self) -> str:
+        return "|".join([self.kind, " ".join(self.givens), self.initials, *self.surnames])
 
 
 def _organisation(raw: str) -> Read | None:
@@ -138,21 +139,19 @@ def _organisation(raw: str) -> Read | None:
     if not (typed or short or any(w in ("of", "for") for w in low[1:])):
         return None
     if short and not typed:
-        letters = words[1].lower()
-        return Read("o", "", letters, "", plain(umlauts(low[0])))
-    rest = [w for w in low if w not in BETWEEN]
-    place = plain(umlauts(fold(tail))) if tail.strip() else (plain(umlauts(rest.pop(0))) if rest and rest[0] not in _TYPE else "")
-    if not rest:
-        return None
-    kind = _TYPE.get(rest[0], rest[0])
-    return Read("o", kind, "".join(w[0] for w in [kind, *rest[1:]] if w), "", place)
+        return Read("o", (), words[1].lower(), tuple(forms(words[0])))
+    rest = [w for w in words if fold(w) not in BETWEEN]
+    place = tail if tail.strip() else (rest.pop(0) if rest and fold(rest[0]) not in _TYPE else "")
+    names = tuple(_TYPE.get(fold(w), plain(fold(w))) for w in rest)
+    names = tuple(w for w in names if w)
+    return Read("o", names, "".join(w[0] for w in names), tuple(forms(place))) if names else None
 
 
 def _person(given: list[str], initials: list[str], surname: list[str]) -> Read:
-    token, others = _given(given[0]) if given else ("", ())
-    letters = [c for i in initials for c in i if c.isalpha()]
-    initial = token[:1] if token else (letters.pop(0) if letters else "")
-    return Read("p", token, initial, "".join(letters), plain(umlauts("".join(surname))), others)
+    letters = "".join(c for i in initials for c in fold(i) if c.isalpha())
+    first = forms(given[0]) if given else []
+    nicks = [n for f in first for n in _NICK.get(f, [])]
+    return Read("p", tuple(dict.fromkeys([*first, *nicks])), letters, tuple(forms("".join(surname))), bool(nicks))
 
 
 def read(spelling: str) -> tuple[Read, Read | None, str, str]:
@@ -164,23 +163,20 @@ def read(spelling: str) -> tuple[Read, Read | None, str, str]:
     if "," in raw:
         last, _, first = raw.partition(",")
         tokens = first.split()
-        full = [fold(t).strip(".") for t in tokens if not _INITIALS.match(t) and not re.fullmatch(r"[A-Z]{2}", t)]
-        initials = [fold(t) for t in tokens if _INITIALS.match(t) or re.fullmatch(r"[A-Z]{2}", t)]
-        surname = [fold(t) for t in last.split()]
-        return _person(full, initials, surname), None, full[0] if full else "", surname[-1] if surname else ""
+        small = [bool(_INITIALS.match(t) or re.fullmatch(r"[A-Z]{2}", t)) for t in tokens]
+        full, initials, surname = [t.strip(".") for t, s in zip(tokens, small) if not s], [t for t, s in zip(tokens, small) if s], last.split()
+        return _person(full, initials, surname), None, fold(full[0]) if full else "", fold(surname[-1]) if surname else ""
     tokens = raw.split()
     small = [bool(_INITIALS.match(t) or re.fullmatch(r"[A-Z]{2}", t)) for t in tokens]
-    full = [fold(t).strip(".") for t, s in zip(tokens, small) if not s]
-    initials = [fold(t) for t, s in zip(tokens, small) if s]
+    full, initials = [t.strip(".") for t, s in zip(tokens, small) if not s], [t for t, s in zip(tokens, small) if s]
     if len(full) < 2:
-        return _person([], initials, full), None, "", full[0] if full else ""
-    if small and small[0]:  # J. M. First Last or J. Double Surname: initials come first, all words are the surname
-        return _person([], initials, full), None, "", full[-1]
-    inner = any(s for s in small[1:-1])
+        return _person([], initials, full), None, "", fold(full[0]) if full else ""
+    if small[0]:  # J. M. First Last or J. Double Surname: initials come first, all words are the surname
+        return _person([], initials, full), None, "", fold(full[-1])
     ahead = _person(full[:1], initials, full[1:])
-    if inner and small[1]:
-        return ahead, None, full[0], full[-1]
-    return ahead, _person(full[-1:], initials, full[:-1]), full[0], full[-1]
+    if small[1]:  # First M. Last
+        return ahead, None, fold(full[0]), fold(full[-1])
+    return ahead, _person(full[-1:], initials, full[:-1]), fold(full[0]), fold(full[-1])
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -191,11 +187,11 @@ def bands_for(similarity: float, recall: float, rows: int) -> int:
 @dataclass(frozen=True)
 class Banding:
     """Similarity of padded q-grams that must still be found, with which probability; rows a band. Two letters
-    swapped in a surname of six leave 0.4 of its padded pairs of letters; one slip in a whole name leaves 0.7."""
+    swapped in a word of six leave 0.4 of its padded pairs of letters, one replaced leaves 0.56."""
 
-    similarity: float
-    recall: float
-    rows: int
+    similarity: float = 0.4
+    recall: float = 0.98
+    rows: int = 3
     q: int = 2
 
     @property
@@ -203,34 +199,39 @@ class Banding:
         return bands_for(self.similarity, self.recall, self.rows)
 
 
-SURNAME, WHOLE = Banding(0.4, 0.98, 3), Banding(0.7, 0.98, 6)
-
-
 def qgrams(s: str, q: int) -> list[str]:
     padded = "^" * (q - 1) + s + "$" * (q - 1)
     return [padded[i : i + q] for i in range(len(padded) - q + 1)]
 
 
-def band_keys(text: str, salt: str, b: Banding, seed: int = 3) -> list[int]:
-    """One 64-bit key a band."""
+@lru_cache(maxsize=4)
+def _mixers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return rng.integers(1, 1 << 61, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 61, n, dtype=np.uint64)
+
+
+def band_keys(text: str, salt: str, b: Banding, seed: int = 3) -> np.ndarray:
+    """One 64-bit key a band; equal for equal salts where the texts' minima in the band are equal."""
     import xxhash
 
-    rng = np.random.default_rng(seed)
-    n = b.bands * b.rows
-    a, c = rng.integers(1, 1 << 61, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 61, n, dtype=np.uint64)
-    h = np.array([xxhash.xxh3_64_intdigest(g) for g in set(qgrams(text, b.q))], dtype=np.uint64)
+    a, c = _mixers(b.bands * b.rows, seed)
+    h = np.array([xxhash.xxh3_64_intdigest(g) for g in sorted(set(qgrams(text, b.q)))], dtype=np.uint64)
     with np.errstate(over="ignore"):
         mixed = h[:, None] * a[None, :] + c[None, :]
         mixed ^= mixed >> np.uint64(31)
-    low = mixed.min(axis=0).reshape(b.bands, b.rows)
-    return [xxhash.xxh3_64_intdigest(salt.encode() + bytes([i % 256, i // 256]) + row.tobytes()) - (1 << 63) for i, row in enumerate(low)]
+        low = mixed.min(axis=0).reshape(b.bands, b.rows)
+        out = np.full(b.bands, xxhash.xxh3_64_intdigest(salt), np.uint64) + np.arange(b.bands, dtype=np.uint64)
+        for r in range(b.rows):
+            out = (out ^ low[:, r]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out.view(np.int64)
 
 
-_READ = "kind string, given string, initial string, middle string, surname string, others array<string>"
+_READ = "kind string, givens array<string>, initials string, surnames array<string>, nick boolean, node string"
 
 
 def readings(spellings: DataFrame) -> DataFrame:
-    """(name, weight, kind, given, initial, middle, surname, others): one reading of every spelling.
+    """(name, weight, kind, givens, initials, surnames, nick, node): one reading of every spelling.
 
     Where the order of two names is open, the one whose words stand more often in these places over all
     spellings is taken; if none does, the given name comes first.
@@ -243,133 +244,174 @@ def readings(spellings: DataFrame) -> DataFrame:
             out = []
             for name, weight in zip(b["name"], b["weight"]):
                 one, two, first, last = read(name)
-                out.append((name, weight, one.__dict__, two and two.__dict__, first, last))
-            yield pd.DataFrame(out, columns=["name", "weight", "one", "two", "first", "last"])
+                out += [(name, weight, first, last, ahead, two is not None, r.kind, list(r.givens), r.initials, list(r.surnames), r.nick, r.node) for ahead, r in ((True, one), (False, two)) if r]
+            yield pd.DataFrame(out, columns=["name", "weight", "first", "last", "ahead", "open", "kind", "givens", "initials", "surnames", "nick", "node"])
 
-    parsed = materialise(spread(spellings).mapInPandas(parse, f"name string, weight bigint, one struct<{_READ.replace(' ', ':').replace(',:', ',')}>, two struct<{_READ.replace(' ', ':').replace(',:', ',')}>, first string, last string"))
-    seen = parsed.select(F.explode(F.array(F.struct(F.col("first").alias("t"), F.lit(1).alias("f"), F.lit(0).alias("l")), F.struct(F.col("last").alias("t"), F.lit(0).alias("f"), F.lit(1).alias("l")))).alias("x"))
-    places = seen.select("x.*").where("t <> ''").groupBy("t").agg(F.sum("f").alias("f"), F.sum("l").alias("l"))
+    parsed = materialise(spread(spellings).mapInPandas(parse, f"name string, weight bigint, first string, last string, ahead boolean, open boolean, {_READ}"))
+    each = F.explode(F.array(F.struct(F.col("first").alias("t"), F.lit(1).alias("f"), F.lit(0).alias("l")), F.struct(F.col("last").alias("t"), F.lit(0).alias("f"), F.lit(1).alias("l"))))
+    places = parsed.where("ahead").select(each.alias("x")).select("x.*").where("t <> ''").groupBy("t").agg(F.sum("f").alias("f"), F.sum("l").alias("l"))
     odds = places.select("t", F.log((F.col("f") + 0.5) / (F.col("l") + 0.5)).alias("odds"))
-    sure = parsed.where("two IS NULL").select("name", "weight", "one.*")
-    open_ = parsed.where("two IS NOT NULL")
-    open_ = open_.join(odds.withColumnRenamed("t", "first").withColumnRenamed("odds", "of_first"), "first").join(odds.withColumnRenamed("t", "last").withColumnRenamed("odds", "of_last"), "last")
-    ahead = F.col("of_first") - F.col("of_last") >= 0
-    chosen = open_.select("name", "weight", F.when(ahead, F.col("one")).otherwise(F.col("two")).alias("r")).select("name", "weight", "r.*")
-    return sure.unionByName(chosen)
+    of = lambda c: odds.select(F.col("t").alias(c), F.col("odds").alias(f"of_{c}"))
+    open_ = parsed.where("open").join(of("first"), "first").join(of("last"), "last").where(F.col("ahead") == (F.col("of_first") >= F.col("of_last")))
+    wanted = ["name", "weight", *[c.split()[0] for c in _READ.split(", ")]]
+    return parsed.where("NOT open").select(*wanted).unionByName(open_.select(*wanted))
 
 
-def _settle_nicknames(rows: DataFrame) -> DataFrame:
-    """A nickname of several names takes the one that others with its surname bear, if any does."""
-    names = rows.where("kind = 'p' AND given <> '' AND size(others) = 0").groupBy("surname", F.col("given").alias("cand")).agg(F.count("*").alias("n"))
-    unsure = rows.where("size(others) > 0").select("name", "surname", F.explode(F.concat(F.array("given"), "others")).alias("cand"))
-    best = unsure.join(names, ["surname", "cand"]).groupBy("name").agg(F.max_by("cand", F.struct("n", "cand")).alias("is"))
-    out = rows.join(best, "name", "left").withColumn("given", F.coalesce("is", "given"))
-    return out.withColumn("initial", F.when((F.col("kind") == "p") & (F.col("given") != ""), F.substring("given", 1, 1)).otherwise(F.col("initial"))).drop("is", "others")
+#: Of two forms of a slip, the rarer has so few spellings and stands with so few other parts, or a third of the
+#: other's at most; else both are names of their own.
+RARE = 3
 
 
-def nodes(rows: DataFrame) -> DataFrame:
-    """Every spelling with its node: those with the same initial and surname, unless their given names contradict.
+def summaries(rows: DataFrame) -> DataFrame:
+    """A row a node: its reading, how many spellings and rows it has, and in how many spellings and with how many other parts its parts stand."""
+    nodes = materialise(rows.groupBy("node").agg(F.count("*").alias("spelled"), F.sum("weight").alias("seen"), *[F.first(c).alias(c) for c in ("kind", "givens", "initials", "surnames", "nick")]))
+    given, surname = F.element_at("givens", 1), F.element_at("surnames", 1)
+    parts = nodes.where("kind = 'p'").select("spelled", F.when(F.size("givens") > 0, given).alias("g"), surname.alias("s"))
+    pairs = parts.groupBy("g", "s").agg(F.sum("spelled").alias("ways"))
+    by_given = pairs.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("g_with"))
+    by_surname = pairs.groupBy("s").agg(F.count("g").alias("s_with"), F.sum("ways").alias("s_ways"))
+    both = nodes.withColumn("g", F.when((F.col("kind") == "p") & (F.size("givens") > 0), given)).withColumn("s", surname)
+    out = both.join(by_given, "g", "left").join(by_surname, "s", "left").join(pairs.where("g IS NOT NULL").withColumnRenamed("ways", "g_ways"), ["g", "s"], "left")
+    return out.drop("g", "s").fillna(0, ["g_with", "s_with", "s_ways", "g_ways"])
 
-    Only distinct given names are gathered, not the spellings that share them.
+
+def _keys(summary: DataFrame) -> DataFrame:
+    """(node, salt, text, solo): the parts of a node that are banded, each under another part that must agree.
+
+    At most one slip is allowed, so of two given names and surnames one pair agrees: surnames are banded under the
+    given name's first letters (3, so that shortenings meet), given names under the surname; a name with initials
+    only (solo) has its surname banded under the first, and meets those of all names. For organisations, the place
+    is banded under the initials and the words under the place.
     """
 
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas as pd
 
         for b in batches:
             out = []
-            for kind, initial, surname, group in zip(b["kind"], b["initial"], b["surname"], b["givens"]):
-                # a given name that very many people bear is no slip of one that few do
-                centres: list[str] = []
-                home: dict[str, str] = {"": ""}
-                for _, g in sorted((-x["bearers"], x["given"]) for x in group if x["given"]):
-                    near = [c for c in centres if slips(g, c) <= (1 if min(len(g), len(c)) < 8 else 2) or (len(g) > 2 and c.startswith(g)) or (len(c) > 2 and g.startswith(c))]
-                    home[g] = near[0] if near else g
-                    if not near:
-                        centres.append(g)
-                home[""] = centres[0] if centres else ""
-                out += [(kind, initial, surname, x["given"], home[x["given"]]) for x in group]
-            yield pd.DataFrame(out, columns=["kind", "initial", "surname", "given", "rep"])
-
-    key = ["kind", "initial", "surname"]
-    bearers = rows.groupBy("kind", "given").agg(F.count("*").alias("bearers"))
-    alike = rows.select(*key, "given").distinct().join(bearers, ["kind", "given"]).groupBy(*key).agg(F.collect_list(F.struct("given", "bearers")).alias("givens"))
-    homes = spread(alike).mapInPandas(settle, "kind string, initial string, surname string, given string, rep string")
-    return rows.join(homes, [*key, "given"]).withColumn("node", F.concat_ws("|", *key, "rep"))
-
-
-def linked(summary: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity): pairs of nodes that may be the same name with one slip.
-
-    One of the two must have a single spelling: a slip is rarer than the name, and names that are each spelled in
-    several ways are names of their own. That also keeps buckets from being paired with themselves.
+            for node, kind, givens, initials, surnames in zip(b["node"], b["kind"], b["givens"], b["initials"], b["surnames"]):
+                givens, found = list(givens), set()
+                for s in surnames:
+                    if kind == "o":
+                        found |= {(f"o{initials}", s, False)} | ({(f"w{s}", "_".join(givens), False)} if givens else set())
+                        continue
+                    found |= {(f"g{g[:3]}", s, False) for g in givens} | {(f"s{s}", g, False) for g in givens}
+                    found |= {(f"i{c}", s, not givens) for c in ({g[0] for g in givens} or {initials[:1]})}
+                out += [(node, *f) for f in found]
+            yield pd.DataFrame(out, columns=["node", "salt", "text", "solo"])
+
+    return summary.select("node", "kind", "givens", "initials", "surnames").mapInPandas(emit, "node string, salt string, text string, solo boolean")
+
+
+def candidates(summary: DataFrame, banding: Banding = Banding()) -> DataFrame:
+    """(a, b), once: pairs of nodes of which a part collides in a band.
+
+    Equal parts are banded once, whoever bears them, and colliding parts are expanded to nodes. Names with initials
+    only are few by surname and initial, and only pairs with one of them are formed there, so that no group of
+    names that share an initial and a surname meets itself. Skewed keys of the joins are left to be split.
     """
+    keys = materialise(_keys(spread(summary)).withColumn("part", F.xxhash64("salt", "text")))
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas as pd
 
         for b in batches:
-            node, band, few, size = [], [], [], []
-            for n, kind, initial, surname, rep, spelled in zip(b["node"], b["kind"], b["initial"], b["surname"], b["rep"], b["spelled"]):
-                found = band_keys(surname, f"s{kind}{initial}", SURNAME) if surname else []
-                if rep:
-                    found = [*found, *band_keys(f"{rep}_{initial}_{surname}" if kind == "o" else f"{rep}_{surname}", f"w{kind}", WHOLE)]
-                node += [n] * len(found)
-                few += [spelled == 1] * len(found)
-                size += [len(surname)] * len(found)
-                band += found
-            if node:  # an empty frame has no types
-                yield pd.DataFrame({"node": node, "band": band, "few": few, "len": size})
-
-    banded = materialise(spread(summary.select("node", "kind", "initial", "surname", "rep", "spelled")).mapInPandas(keys, "node string, band bigint, few boolean, len int"))
-    a, b = banded.where("few").select(F.col("node").alias("a"), "band", F.col("len").alias("la")), banded.select(F.col("node").alias("b"), "band", F.col("len").alias("lb"))
-    pairs = a.join(b, "band").where((F.col("a") != F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= 1))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    facts = lambda s: summary.select(F.col("node").alias(s), *[F.col(c).alias(c + s) for c in ("kind", "initial", "surname", "rep", "middles")])
+            if len(b):  # an empty frame has no types
+                found = [band_keys(text, salt, banding) for salt, text in zip(b["salt"], b["text"])]
+                yield pd.DataFrame({"part": np.repeat(b["part"].to_numpy(), banding.bands), "band": np.concatenate(found)})
+
+    parts = spread(keys.select("part", "salt", "text").distinct())
+    banded = materialise(parts.mapInPandas(band, "part bigint, band bigint"))
+    near = banded.select(F.col("part").alias("p"), "band").join(banded.select(F.col("part").alias("q"), "band"), "band").where("p < q").select("p", "q").distinct()
+    near = materialise(near)
+    both = near.unionByName(near.select(F.col("q").alias("p"), F.col("p").alias("q"))).unionByName(keys.select(F.col("part").alias("p"), F.col("part").alias("q")).distinct())
+    side = lambda n, p: keys.select(F.col("node").alias(n), F.col("part").alias(p), F.col("solo").alias(f"solo_{n}"), F.substring("salt", 1, 1).alias(f"of_{n}"))
+    first, second = side("a", "p"), side("b", "q")
+    sets = first.where("of_a <> 'i'").join(both, "p").join(second, "q").where("a < b")
+    solo = first.where("solo_a").join(both, "p").join(second, "q").where("a <> b")
+    return sets.select("a", "b").unionByName(solo.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
+def _slip(xs: list[str], ys: list[str]) -> int:
+    return min(slips(x, y) for x in xs for y in ys)
+
+
+def _own(*counts: tuple[int, int]) -> bool:
+    """Whether two forms are names of their own rather than one a slip of the other, by counts of both."""
+    return any(min(c) > RARE and 3 * min(c) > max(c) for c in counts)
+
+
+def similarity(a, b) -> float:  # noqa: ANN001
+    """Monge-Elkan similarity of two nodes, 0 if they can't be forms of one name."""
+    if a.kind != b.kind:
+        return 0.0
+    ga, gb, sa, sb = list(a.givens), list(b.givens), list(a.surnames), list(b.surnames)
+    n = _slip(sa, sb)
+    if n > 1 or (n and min(len(sa[0]), len(sb[0])) < 4):
+        return 0.0
+    place = max(1 - slips(x, y) / max(len(x), len(y), 1) for x in sa for y in sb)
+    if a.kind == "o":
+        if not ga or not gb:
+            return (1 + place) / 2 if a.initials == b.initials else 0.0
+        short, long = sorted((ga, gb), key=lambda w: (len(w), w))
+        if len(short) != len(long):
+            return 0.0
+        if sum(slips(x, y) for x, y in zip(short, long) if token_similarity(x, y) < 1) + n > 1:
+            return 0.0
+        return (monge_elkan(short, long) + place) / 2
+    ia, ib = a.initials if ga else a.initials[1:], b.initials if gb else b.initials[1:]
+    if ia and ib and ia[0] != ib[0]:
+        return 0.0
+    if ga and gb:
+        given = max(token_similarity(x, y) for x in ga for y in gb)
+        if given < 1:
+            n += _slip(ga[:1], gb[:1])
+            if _own((a.g_with, b.g_with), (a.g_ways, b.g_ways)):
+                return 0.0
+        elif n and _own((a.s_with, b.s_with), (a.s_ways, b.s_ways)):
+            return 0.0
+    else:
+        given = float(bool({g[0] for g in ga or [a.initials[:1] or "?"]} & {g[0] for g in gb or [b.initials[:1] or "!"]}))
+        if n and _own((a.s_with, b.s_with), (a.s_ways, b.s_ways)):
+            return 0.0
+    return (given + place) / 2 if n <= 1 and given else 0.0
+
+
+def linked(summary: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity): candidate pairs that may be forms of the same name."""
+    wanted = ("kind", "givens", "initials", "surnames", "g_with", "s_with", "g_ways", "s_ways")
+    facts = lambda s: summary.select(F.col("node").alias(s), F.struct(*wanted).alias(f"f{s}"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas as pd
 
         for p in batches:
-            out = []
-            for r in p.itertuples(index=False):
-                if r.kinda != r.kindb or (len(r.middlesa) and len(r.middlesb) and not set(r.middlesa) & set(r.middlesb)):
-                    continue
-                n = slips(r.surnamea, r.surnameb)
-                if n and min(len(r.surnamea), len(r.surnameb)) < 4:
-                    continue
-                if r.kinda == "o":
-                    n += 2 * (r.initiala != r.initialb) + (slips(r.repa, r.repb) if r.repa and r.repb else 0)
-                elif r.repa and r.repb:
-                    n += slips(r.repa, r.repb)
-                else:
-                    n += r.initiala != r.initialb
-                if n > 1:
-                    continue
-                s = monge_elkan([w for w in (r.repa or r.initiala, r.surnamea) if w], [w for w in (r.repb or r.initialb, r.surnameb) if w])
-                if s >= least:
-                    out.append((r.a, r.b, s))
-            yield pd.DataFrame(out, columns=["a", "b", "similarity"])
-
-    return spread(pairs.join(facts("a"), "a").join(facts("b"), "b")).mapInPandas(verify, "a string, b string, similarity double")
-
-
-def stars(weights: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFrame:
+            sides = [[SimpleNamespace(**(f if isinstance(f, dict) else f.asDict())) for f in p[c]] for c in ("fa", "fb")]
+            s = np.array([similarity(x, y) for x, y in zip(*sides)], dtype=float)
+            yield pd.DataFrame({"a": p["a"], "b": p["b"], "similarity": s})[s >= least]
+
+    return spread(candidates(summary).join(facts("a"), "a").join(facts("b"), "b")).mapInPandas(verify, "a string, b string, similarity double")
+
+
+def stars(weights: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, centre) by star clustering: the heaviest node among its open neighbours becomes a centre and takes
-    them; a node between several centres goes to the most similar, then the heaviest, then the first. Rounds end
-    when no open edge is left; whatever `rounds` leaves open stays by itself. Nodes without edges aren't listed.
+    them; a node between several centres goes to the most similar, then the heaviest, then the first. One that is
+    wholly similar to several (an initial that fits several people) stays by itself. Rounds go on until no open
+    edge is left; each closes one at least, and lineage is cut in each. Nodes without edges aren't listed.
+
+    weights: node and weight, of any type with an order.
     """
     w = weights.select("node", "weight")
     both = edges.select("a", "b", "similarity").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     heavy = both.join(w.select(F.col("node").alias("a"), F.col("weight").alias("wa")), "a").join(w.select(F.col("node").alias("b"), F.col("weight").alias("wb")), "b")
-    open_ = materialise(heavy.withColumn("up", (F.col("wb") > F.col("wa")) | ((F.col("wb") == F.col("wa")) & (F.col("b") < F.col("a")))))
+    open_ = materialise(heavy.select("a", "b", "similarity", "wb", ((F.col("wb") > F.col("wa")) | ((F.col("wb") == F.col("wa")) & (F.col("b") < F.col("a")))).alias("up")))
     done = None
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():
         centres = open_.groupBy("a").agg(F.max("up").alias("up")).where("NOT up").select(F.col("a").alias("centre"))
-        taken = open_.join(centres, open_["b"] == centres["centre"]).groupBy("a").agg(F.max_by("b", F.struct("similarity", "wb", "b")).alias("centre"))
-        one = materialise(taken.select(F.col("a").alias("node"), "centre").unionByName(centres.select(F.col("centre").alias("node"), "centre")))
+        best = F.max_by("b", F.struct("similarity", "wb", "b"))
+        taken = open_.join(centres, open_["b"] == centres["centre"]).groupBy("a").agg(best.alias("centre"), F.count_if(F.col("similarity") >= 1).alias("whole"))
+        taken = taken.select(F.col("a").alias("node"), F.when(F.col("whole") > 1, F.col("a")).otherwise(F.col("centre")).alias("centre"))
+        one = materialise(taken.unionByName(centres.select(F.col("centre").alias("node"), "centre")))
         done = one if done is None else done.unionByName(one)
         gone = one.select("node")
         open_ = materialise(open_.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti"))
@@ -383,18 +425,16 @@ def entities(spellings: DataFrame, least: float = 0.88) -> DataFrame:
     read as a name are entities of their own. least: the Monge-Elkan similarity of a link.
     """
     counted = spellings.where(F.trim("name") != "").groupBy("name").agg(F.count("*").alias("weight"))
-    rows = materialise(_settle_nicknames(readings(counted)))
-    named = rows.where("surname <> ''")
-    spelled = materialise(nodes(named))
-    summary = materialise(spelled.groupBy("node", "kind", "initial", "surname", "rep").agg(
-        F.count("*").alias("spelled"), F.sum("weight").alias("seen"), F.collect_set(F.when(F.col("middle") != "", F.substring("middle", 1, 1))).alias("middles")))
+    rows = materialise(readings(counted))
+    named = F.element_at("surnames", 1) != ""
+    summary = materialise(summaries(rows.where(named)))
     links = materialise(linked(summary, least))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    part = lambda c: F.least(F.coalesce(c, F.lit(0)), F.lit(999))
-    weight = F.col("spelled") * 1_000_000 + part("degree") * 1000 + part("seen")
+    # whole names before nicknames before initials; then what is spelled in more ways, linked more, and seen more
+    rank = F.when(F.size("givens") == 0, 0).when(F.col("nick"), 1).otherwise(2)
+    weight = F.struct(rank.alias("rank"), "spelled", F.coalesce("degree", F.lit(0)).alias("degree"), "seen")
     homes = stars(summary.join(degree, "node", "left").select("node", weight.alias("weight")), links)
-    out = spelled.join(homes, "node", "left").select("name", F.coalesce("centre", "node").alias("entity"))
-    return out.unionByName(rows.where("surname = ''").select("name", F.concat(F.lit("?|"), "name").alias("entity")))
+    return rows.join(homes, "node", "left").select("name", F.when(named, F.coalesce("centre", "node")).otherwise(F.concat(F.lit("?|"), "name")).alias("entity"))
 
 
 def variant_pairs(found: DataFrame) -> DataFrame:

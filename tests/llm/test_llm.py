@@ -213,6 +213,45 @@ def test_variants_of_people_and_organisations(spark):
     assert names.variant_pairs(names.entities(spark.createDataFrame([], "name string"))).count() == 0
 
 
+def _entities(spark, names_):
+    found = names.entities(spark.createDataFrame([(n,) for n in names_], "name string")).collect()
+    out = {}
+    for r in found:
+        out.setdefault(r.entity, set()).add(r.name)
+    return sorted(map(sorted, out.values()))
+
+
+def test_slips_in_several_notations_are_linked(spark):
+    own = ["Margaret Thornbury", "M. Thornbury", "Margaret Thornbruy", "M. Thornbruy"]
+    assert _entities(spark, own) == [sorted(own)]
+
+
+def test_initials_of_several_people_stay_alone(spark):
+    assert _entities(spark, ["John Smith", "Jane Smith", "James Smith", "J. Smith", "Jane Doe", "Jane Do"]) == [["J. Smith"], ["James Smith"], ["Jane Do"], ["Jane Doe"], ["Jane Smith"], ["John Smith"]]
+
+
+def test_organisations_of_different_kinds_stay_apart(spark):
+    assert len(_entities(spark, ["Denagate Academy of Language Technology", "Denagate University of Language Technology", "The Denagate Univ. of Language Technology"])) == 2
+
+
+def test_stars_close_every_edge(spark):
+    """A chain of falling weights needs a round for every second node."""
+    n = 34
+    weights = spark.createDataFrame([(f"n{i:02d}", n - i) for i in range(n)], "node string, weight int")
+    edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", 0.9) for i in range(n - 1)], "a string, b string, similarity double")
+    home = {r.node: r.centre for r in names.stars(weights, edges).collect()}
+    assert len(home) == n and all(home[f"n{i:02d}"] == f"n{i - i % 2:02d}" for i in range(n))
+
+
+def test_equal_parts_collide_in_every_band_and_slips_by_the_curve():
+    b = names.Banding()
+    assert (names.band_keys("smith", "x", b) == names.band_keys("smith", "x", b)).all() and not set(names.band_keys("smith", "x", b)) & set(names.band_keys("smith", "y", b))
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(200)]
+    met = sum(bool(set(names.band_keys(w, "", b)) & set(names.band_keys(w[:4] + w[5] + w[4] + w[6:], "", b))) for w in words)
+    assert met >= 190
+
+
 # ---- scans
 
 WORDS = "the model reads every sentence of a page before it answers any question about its figures and tables while readers wait for results".split()
