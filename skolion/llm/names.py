@@ -254,7 +254,8 @@ def readings(spellings: DataFrame) -> DataFrame:
     of = lambda c: odds.select(F.col("t").alias(c), F.col("odds").alias(f"of_{c}"))
     open_ = parsed.where("open").join(of("first"), "first").join(of("last"), "last").where(F.col("ahead") == (F.col("of_first") >= F.col("of_last")))
     wanted = ["name", "weight", *[c.split()[0] for c in _READ.split(", ")]]
-    return parsed.where("NOT open").select(*wanted).unionByName(open_.select(*wanted))
+    # 64 bits of the whole reading stand for it in what follows
+    return parsed.where("NOT open").select(*wanted).unionByName(open_.select(*wanted)).withColumn("node", F.xxhash64("node"))
 
 
 #: Of two forms of a slip, the rarer has so few spellings and stands with so few other parts, or a third of the
@@ -300,7 +301,7 @@ def _keys(summary: DataFrame) -> DataFrame:
                 out += [(node, *f) for f in found]
             yield pd.DataFrame(out, columns=["node", "salt", "text", "solo"])
 
-    return summary.select("node", "kind", "givens", "initials", "surnames").mapInPandas(emit, "node string, salt string, text string, solo boolean")
+    return summary.select("node", "kind", "givens", "initials", "surnames").mapInPandas(emit, "node bigint, salt string, text string, solo boolean")
 
 
 def candidates(summary: DataFrame, banding: Banding = Banding()) -> DataFrame:
@@ -318,11 +319,15 @@ def candidates(summary: DataFrame, banding: Banding = Banding()) -> DataFrame:
         for b in batches:
             if len(b):  # an empty frame has no types
                 found = [band_keys(text, salt, banding) for salt, text in zip(b["salt"], b["text"])]
-                yield pd.DataFrame({"part": np.repeat(b["part"].to_numpy(), banding.bands), "band": np.concatenate(found)})
-
-    parts = spread(keys.select("part", "salt", "text").distinct())
-    banded = materialise(parts.mapInPandas(band, "part bigint, band bigint"))
-    near = banded.select(F.col("part").alias("p"), "band").join(banded.select(F.col("part").alias("q"), "band"), "band").where("p < q").select("p", "q").distinct()
+                lengths = np.array([0 if salt[0] == "w" else len(text) for salt, text in zip(b["salt"], b["text"])], np.int32)  # words may be abbreviated
+                yield pd.DataFrame({"part": np.repeat(b["part"].to_numpy(), banding.bands), "band": np.concatenate(found), "len": np.repeat(lengths, banding.bands)})
+
+    parts = keys.select("part", "salt", "text", F.xxhash64("salt").alias("under")).distinct()
+    shared = parts.groupBy("under").count().where("count > 1").select("under")  # a part alone under its salt meets none
+    parts = spread(parts.join(shared, "under", "left_semi").select("part", "salt", "text"))
+    banded = materialise(parts.mapInPandas(band, "part bigint, band bigint, len int"))
+    one, other = (banded.select(F.col("part").alias(c), "band", F.col("len").alias(f"len_{c}")) for c in "pq")
+    near = one.join(other, "band").where("p < q AND abs(len_p - len_q) <= 1").select("p", "q").distinct()
     near = materialise(near)
     both = near.unionByName(near.select(F.col("q").alias("p"), F.col("p").alias("q"))).unionByName(keys.select(F.col("part").alias("p"), F.col("part").alias("q")).distinct())
     side = lambda n, p: keys.select(F.col("node").alias(n), F.col("part").alias(p), F.col("solo").alias(f"solo_{n}"), F.substring("salt", 1, 1).alias(f"of_{n}"))
@@ -390,7 +395,7 @@ def linked(summary: DataFrame, least: float) -> DataFrame:
             s = np.array([similarity(x, y) for x, y in zip(*sides)], dtype=float)
             yield pd.DataFrame({"a": p["a"], "b": p["b"], "similarity": s})[s >= least]
 
-    return spread(candidates(summary).join(facts("a"), "a").join(facts("b"), "b")).mapInPandas(verify, "a string, b string, similarity double")
+    return spread(candidates(summary).join(facts("a"), "a").join(facts("b"), "b")).mapInPandas(verify, "a bigint, b bigint, similarity double")
 
 
 def stars(weights: DataFrame, edges: DataFrame) -> DataFrame:
@@ -434,7 +439,7 @@ def entities(spellings: DataFrame, least: float = 0.88) -> DataFrame:
     rank = F.when(F.size("givens") == 0, 0).when(F.col("nick"), 1).otherwise(2)
     weight = F.struct(rank.alias("rank"), "spelled", F.coalesce("degree", F.lit(0)).alias("degree"), "seen")
     homes = stars(summary.join(degree, "node", "left").select("node", weight.alias("weight")), links)
-    return rows.join(homes, "node", "left").select("name", F.when(named, F.coalesce("centre", "node")).otherwise(F.concat(F.lit("?|"), "name")).alias("entity"))
+    return rows.join(homes, "node", "left").select("name", F.when(named, F.hex(F.coalesce("centre", "node"))).otherwise(F.concat(F.lit("?|"), "name")).alias("entity"))
 
 
 def variant_pairs(found: DataFrame) -> DataFrame:
