@@ -120,13 +120,26 @@ def test_tree_recall(spark):
     centres = rng.normal(size=(30, 16))
     rows = [(f"{i:05d}", [float(x) for x in centres[i % 30] + 0.3 * rng.normal(size=16)]) for i in range(1500)]
     df = spark.createDataFrame(rows, "paper_id string, embedding array<float>").repartition(4)
-    found = similar.neighbours(df, config=similar.SearchConfig(sample=600, leaf=100, block=64, part=500, queries=100, recall=0.98)).collect()
     truth = _brute(rows, 8)
-    hits = sum(r.neighbour in truth[r.paper_id] for r in found)
-    assert hits / (8 * len(rows)) >= 0.95
+    for config in (similar.SearchConfig(sample=600, leaf=100, block=64, part=500, queries=100), similar.SearchConfig(sample=64, leaf=12, block=50, part=300, queries=200)):
+        found = similar.neighbours(df, config=config).collect()
+        hits = sum(r.neighbour in truth[r.paper_id] for r in found)
+        assert len(found) == 8 * len(rows) and hits / len(found) >= 0.95
     assert similar.neighbours(df.limit(0)).count() == 0
 
 
+def test_leaves_grow_with_the_table(spark):
+    """The sample of each tree is fixed; twice as many rows have about twice as many leaves, of the same size."""
+    rng = np.random.default_rng(4)
+    leaves = []
+    for n in (1500, 3000):
+        df = spark.createDataFrame([(f"{i:05d}", [float(x) for x in rng.normal(size=12)]) for i in range(n)], "unit string, v array<float>")
+        forest = similar.index(df, n, similar.SearchConfig(sample=64, leaf=40))
+        assert forest.upper.leaves <= 64 and forest.rows.count() == n
+        leaves.append(forest.rows.groupBy("top", "low").count().count())
+    assert leaves[0] >= 20 and 1.4 * leaves[0] <= leaves[1]
+
+
 # ---- leakage
 
 
