@@ -1,19 +1,20 @@
 """Evaluation passages in training text: a prefix-filtered set join with exact verification.
 
 An item's passage of 12 words is the set of its 8 shingles of five words; a document that repeats the passage
-holds all of them, so it holds the rarest. Shingles are ordered by how many documents hold them; every passage is
-joined by its rarest shingle only, where the document is long enough before and after that place, and the words of
-what is left are compared one by one.
+holds all of them, so it holds the rarest. A first reading of the corpus counts in how many documents each item
+shingle stands; every passage keeps its rarest one as prefix. A second reading looks for prefixes alone and, where
+the document is long enough before and after the place, gives the 12 words around it, which must equal the passage.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from typing import TYPE_CHECKING
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -82,76 +83,85 @@ def passages(items: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return rows.where(F.col("t").isNotNull()).distinct().mapInPandas(cut, f"item {kind}, field string, start int, shingles array<bigint>, words string")
 
 
-def occurrences(docs: DataFrame, key: str, text: str, wanted: np.ndarray) -> DataFrame:
-    """(doc, n_words, shingle, at) wherever a document holds one of the sorted wanted shingles."""
-    wanted = wanted.view(np.uint64) if wanted.dtype == np.int64 else wanted
-    wanted = np.sort(wanted)
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+def _read(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).where(F.col("doc").isNotNull() & F.col("t").isNotNull())
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _hits(want: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Positions in s of members of the sorted want."""
+    return np.nonzero(want[np.minimum(np.searchsorted(want, s), len(want) - 1)] == s)[0] if len(s) and len(want) else np.empty(0, np.int64)
+
+
+def frequencies(docs: DataFrame, key: str, text: str, wanted: np.ndarray) -> DataFrame:
+    """(shingle, df): in how many rows each of the wanted shingles stands; summed up in the tasks first."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.view(np.uint64)))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas as pd
 
         hasher, want = _Hasher(), sent.value
+        seen = np.zeros(len(want), np.int64)
+        for b in batches:
+            for t in b["t"]:
+                s = hasher.shingles(words(t))
+                hit = _hits(want, s)
+                if len(hit):
+                    seen[np.unique(np.searchsorted(want, s[hit]))] += 1
+        some = np.nonzero(seen)[0]
+        if len(some):  # an empty frame has no types
+            yield pd.DataFrame({"shingle": want[some].view(np.int64), "df": seen[some]})
+
+    return _read(docs, key, text).select("t").mapInPandas(count, "shingle bigint, df bigint").groupBy("shingle").agg(F.sum("df").alias("df"))
+
+
+def surroundings(docs: DataFrame, key: str, text: str, shingles: np.ndarray, offsets: np.ndarray) -> DataFrame:
+    """(doc, words): the PASSAGE words around each prefix that a document holds, by the prefix's offsets in passages,
+    where these words begin and end within the document."""
+    order = np.lexsort((offsets, shingles.view(np.uint64)))
+    sent = docs.sparkSession.sparkContext.broadcast((shingles.view(np.uint64)[order], offsets[order]))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        hasher, (want, offset) = _Hasher(), sent.value
         for b in batches:
-            doc, n, shingle, at = [], [], [], []
+            out = set()
             for d, t in zip(b["doc"], b["t"]):
                 w = words(t)
                 s = hasher.shingles(w)
-                if not len(s) or not len(want):
-                    continue
-                hit = np.nonzero(want[np.minimum(np.searchsorted(want, s), len(want) - 1)] == s)[0]
-                if len(hit):
-                    doc += [d] * len(hit)
-                    n += [len(w)] * len(hit)
-                    shingle.append(s[hit].view(np.int64))
-                    at.append(hit)
-            if doc:  # an empty frame has no types
-                yield pd.DataFrame({"doc": doc, "n_words": n, "shingle": np.concatenate(shingle), "at": np.concatenate(at)})
+                for at in _hits(want, s):
+                    first, end = np.searchsorted(want, s[at]), np.searchsorted(want, s[at], "right")
+                    for begin in at - offset[first:end]:
+                        if 0 <= begin <= len(w) - PASSAGE:
+                            out.add((d, " ".join(w[begin : begin + PASSAGE])))
+            if out:  # an empty frame has no types
+                yield pd.DataFrame(list(out), columns=["doc", "words"])
 
-    kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).where(F.col("doc").isNotNull() & F.col("t").isNotNull())
-    return rows.mapInPandas(find, f"doc {kind}, n_words int, shingle bigint, at int")
+    return _read(docs, key, text).mapInPandas(find, f"doc {dict(docs.dtypes)[key]}, words string")
 
 
 def leaked(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", fields: tuple[str, ...] = ("question", "reference_answer"), block: int = BLOCK) -> DataFrame:
     """(doc_key, item_key): the document repeats at least PASSAGE consecutive words of one of the item's fields.
 
-    Whole texts are read. Null keys, null or empty texts and fields of fewer words give no rows; repeated rows and
-    texts shared by several ids give each pair once. Other columns are not read.
+    Whole texts are read, twice. Null keys, null or empty texts and fields of fewer words give no rows; repeated
+    rows and texts shared by several ids give each pair once. Other columns are not read. Shingles of the items, and
+    their prefixes, are sent in blocks of a fixed size, however many items there are.
     """
     windows = materialise(passages(items, item_key, list(fields)))
-    spark = docs.sparkSession
-    shingles = materialise(windows.select(F.explode("shingles").alias("shingle")).distinct())
-    count = shingles.count()
-    # the shingles of the items are sent in blocks of a fixed size, however many items there are
-    blocks = max(1, -(-count // block))
-    found = None
-    for b in range(blocks):
-        part = shingles if blocks == 1 else shingles.where(F.pmod(F.xxhash64("shingle"), F.lit(blocks)) == b)
-        wanted = part.toPandas()["shingle"].to_numpy(dtype=np.int64)
-        one = occurrences(docs, doc_key, text, wanted)
-        found = one if found is None else found.unionByName(one)
-    found = materialise(found)
-    rarity = found.groupBy("shingle").agg(F.count_distinct("doc").alias("df"))
-    each = windows.select("item", "field", "start", "words", F.posexplode("shingles").alias("offset", "shingle")).join(rarity, "shingle", "left")
-    order = Window.partitionBy("item", "field", "start").orderBy(F.col("df").asc_nulls_first(), "offset")
-    prefix = each.withColumn("r", F.row_number().over(order)).where((F.col("r") == 1) & F.col("df").isNotNull()).select("item", "start", "words", "offset", "shingle")
-    # positions: the passage must begin within the document and end before it does
-    begins = F.col("at") - F.col("offset")
-    pairs = found.join(prefix, "shingle").where((begins >= 0) & (begins + PASSAGE <= F.col("n_words"))).select("doc", "item", begins.alias("begins"), "words").distinct()
-    texts = docs.select(F.col(doc_key).alias("doc"), F.col(text).alias("t"))
-    candidates = texts.join(pairs.groupBy("doc").agg(F.collect_list(F.struct("item", "begins", "words")).alias("claims")), "doc")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pandas as pd
 
-        for b in batches:
-            out = set()
-            for doc, t, claims in zip(b["doc"], b["t"], b["claims"]):
-                w = words(t)
-                out |= {(doc, c["item"]) for c in claims if " ".join(w[c["begins"] : c["begins"] + PASSAGE]) == c["words"]}
-            yield pd.DataFrame(sorted(out), columns=["doc", "item"])
+    def blocks(df: DataFrame) -> Iterator[pd.DataFrame]:
+        n = max(1, -(-df.count() // block))
+        for b in range(n):
+            yield (df if n == 1 else df.where(F.pmod(F.xxhash64("shingle"), F.lit(n)) == b)).toPandas()
 
-    kinds = dict(docs.dtypes)[doc_key], dict(items.dtypes)[item_key]
-    out = candidates.select("doc", "t", "claims").mapInPandas(verify, f"doc {kinds[0]}, item {kinds[1]}")
-    return out.distinct().select(F.col("doc").alias(doc_key), F.col("item").alias(item_key))
+    shingles = materialise(windows.select(F.explode("shingles").alias("shingle")).distinct())
+    counted = [frequencies(docs, doc_key, text, part["shingle"].to_numpy(dtype=np.int64)) for part in blocks(shingles)]
+    rarity = materialise(reduce(DataFrame.unionByName, counted))
+    each = windows.select("item", "field", "start", "words", F.size("shingles").alias("of"), F.posexplode("shingles").alias("offset", "shingle")).join(rarity, "shingle")
+    # one aggregation a passage; a passage of which some shingle stands nowhere can't stand anywhere
+    rarest = each.groupBy("item", "field", "start", "words", "of").agg(F.min(F.struct("df", "offset", "shingle")).alias("p"), F.count("*").alias("held")).where("held = of")
+    prefixes = materialise(rarest.select("item", "words", "p.shingle", "p.offset"))
+    found = [surroundings(docs, doc_key, text, p["shingle"].to_numpy(np.int64), p["offset"].to_numpy(np.int64)) for p in blocks(prefixes.select("shingle", "offset").distinct())]
+    # equal words are the exact containment
+    out = reduce(DataFrame.unionByName, found).join(prefixes.select("item", "words").distinct(), "words")
+    return out.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key)).distinct()
