@@ -50,6 +50,22 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.located(parts, table(spark, sf_dir, "paper_pages"))
 
 
+@R.add(
+    sql=r"""
+WITH f AS (SELECT paper_id, string_agg(coalesce(text, ''), chr(10) ORDER BY page_number) AS t FROM (SELECT DISTINCT paper_id, page_number, text FROM paper_pages) GROUP BY paper_id),
+c AS (SELECT chunk_id, paper_id, arg_min(text, (received_at, delivery_id)) AS text, arg_min(char_start, (received_at, delivery_id)) AS cs FROM chunks WHERE length(text) > 900 GROUP BY chunk_id, paper_id),
+l AS (SELECT chunk_id, c.paper_id, cs + length(regexp_extract(substr(t, (cs + 1)::BIGINT), '^[\s\p{Z}]*')) AS char_start, length(text) AS n FROM c JOIN f USING (paper_id)),
+p AS (SELECT DISTINCT paper_id, page_number, char_start AS lo, char_end AS hi FROM paper_pages WHERE char_end > char_start)
+SELECT chunk_id, l.char_start::INT AS char_start, (l.char_start + n)::INT AS char_end, min(a.page_number) AS page_start, min(b.page_number) AS page_end
+FROM l LEFT JOIN p a ON a.paper_id = l.paper_id AND l.char_start >= a.lo AND l.char_start < a.hi
+LEFT JOIN p b ON b.paper_id = l.paper_id AND l.char_start + n - 1 BETWEEN b.lo AND b.hi GROUP BY chunk_id, l.char_start, n"""
+)
+def p4_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the pieces of every oversized chunk begin and end in its paper."""
+    found = p4_pieces(spark, sf_dir)
+    return found.groupBy("chunk_id").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.min_by("page_start", "piece_no").alias("page_start"), F.max_by("page_end", "piece_no").alias("page_end"))
+
+
 @R.add(
     sql="""
 WITH v AS (SELECT paper_id, min(embedding)::DOUBLE[] AS e FROM paper_vectors WHERE embedding IS NOT NULL GROUP BY paper_id),

@@ -33,6 +33,48 @@ def test_cut_prefers_natural_ends():
     assert ends and all(text[:b].rstrip().endswith(".") for b in ends)
 
 
+def test_tree_has_depths_and_nested_items():
+    text = "# One\nintro\n## Two\n- a\n  - b\n  - c\n- d\n\nafter\n## Three\nx\n# Four\ny"
+    root = splitting.tree(text)
+    assert [text[n.start : n.end].split("\n")[0] for n in root.children] == ["# One", "# Four"]
+    assert [text[n.start : n.end].split("\n")[0] for n in root.children[0].children] == ["# One", "## Two", "## Three"]
+    listed = root.children[0].children[1].children[0]
+    assert [text[n.start : n.end].split("\n")[0] for n in listed.children] == ["## Two", "- a", "- d"] and len(listed.children[1].children) == 3
+
+
+def test_no_piece_mixes_a_part_of_an_oversized_section_with_its_neighbour():
+    rng = random.Random(3)
+    for _ in range(200):
+        sections = [f"{'#' * rng.randint(1, 3)} Head {i}\n" + "Some words stand here. " * rng.randint(1, 90) + "\n" for i in range(rng.randint(2, 6))]
+        text, bounds, at = "".join(sections), [], 0
+        for s in sections:
+            bounds.append((at, at + len(s)))
+            at += len(s)
+        ends = splitting.pack(text, splitting.tree(text), 750)
+        for a, b in zip([0, *ends], ends):
+            touched = [(x, y) for x, y in bounds if x < b and y > a]
+            assert b - a <= 750 and (len(touched) == 1 or all(a <= x and y <= b for x, y in touched))
+
+
+def test_small_siblings_share_a_piece():
+    text = "".join(f"# H{i}\n" + "Words stand here. " * 5 + "\n" for i in range(30))
+    ends = splitting.pack(text, splitting.tree(text), 750)
+    assert all(text[e : e + 1] in ("#", "") for e in ends) and len(ends) <= -(-len(text) // 600)
+
+
+def test_white_space_over_pages(spark):
+    """A chunk that starts before more than 64 blanks, a page's end and an empty page."""
+    page = ["word. " * 50 + " " * 90, "", "\n  " + "Next page goes on. " * 100]
+    at, rows = 0, []
+    for i, t in enumerate(page):
+        rows.append(("p", i + 1, t, at, at + len(t)))
+        at += len(t) + 1
+    full = "\n".join(page)
+    chunks = spark.createDataFrame([("p::0", "p", full[310:].strip(), 310, 1, None, 1, 0)], CHUNKS)
+    out = splitting.located(splitting.pieces(chunks), spark.createDataFrame(rows, "paper_id string, page_number int, text string, char_start int, char_end int")).collect()
+    assert len(out) >= 2 and all(full[r.char_start : r.char_end] == r.text and r.page_start == r.page_end == 3 for r in out)
+
+
 CHUNKS = "chunk_id string, paper_id string, text string, char_start int, page_start int, received_at timestamp, delivery_id bigint, begin int"
 
 
