@@ -350,6 +350,61 @@ def test_repair(scanned):
     assert scans.noisy_records(pages.limit(0), chunks.limit(0)).count() == 0
 
 
+def _scan_rows(spark, pages, chunks=()):
+    rows = [(k, n, t, (n - 1) * 9000, (n - 1) * 9000 + len(t)) for k, n, t in pages]
+    return (
+        spark.createDataFrame(rows, "paper_id string, page_number int, text string, char_start int, char_end int"),
+        spark.createDataFrame(list(chunks), "chunk_id string, paper_id string, text string, char_start int"),
+    )
+
+
+def test_verdicts_do_not_hang_on_the_vocabulary(spark, monkeypatch):
+    """Wrapped compounds are clean and words of any length or rarity are corrected, whatever fits into KNOWN."""
+    rng = random.Random(9)
+    long = "donaudampfschifffahrtsgesellschaftskapitaensmuetzen"
+    body = [("p", i + 1, _page(rng).replace("question", "semi").replace("figures", "automatic").replace("readers", long, 1)) for i in range(60)]
+    body += [("p", 70, _page(rng) + "\nThe semi-\nautomatic model reads on."), ("p", 71, _page(rng) + "\nThe sen-\ntence waits for it."), ("p", 72, _page(rng) + f"\nThe {long.replace('m', 'rn', 1)} reads on."), ("p", 73, _page(rng) + "\nThe sentence waits.")]
+    pages, chunks = _scan_rows(spark, body)
+    for size in (200_000, 20):
+        monkeypatch.setattr(scans.known_words, "__defaults__", (size,))
+        assert {r.record_key for r in scans.noisy_records(pages, chunks).collect()} == {"p#71", "p#72"}
+
+
+def test_chunks_without_a_page_are_labelled(spark):
+    rng = random.Random(5)
+    pages, chunks = _scan_rows(spark, [("p", i + 1, _page(rng)) for i in range(80)], [("lone::0", "lone", "its figures\n— 14 —\n" + _page(rng), 0), ("lone::1", "lone", "its figures\nand tables\n" + _page(rng), None)])
+    assert {r.record_key for r in scans.noisy_records(pages, chunks).collect()} == {"lone::0"}
+
+
+def test_repaired_text(spark):
+    rng = random.Random(12)
+    body = [("p", i + 1, _page(rng)) for i in range(80)]
+    noisy = "Page 90\n" + "The rnodel reads every sen-\ntence of a page before it answers\nany question about its fig`ures.\n" + _page(rng)
+    out = scans.repaired(*_scan_rows(spark, [*body, ("p", 90, noisy)])).collect()
+    assert len(out) == 1 and out[0].text.startswith("The model reads every sentence of a page before it answers any question about its figures.")
+
+
+def test_chain_is_fitted_jointly():
+    """Two labels that only the one before can tell apart."""
+    pages = []
+    for i in range(40):
+        x = np.zeros((6, scans.FEATURES))
+        x[:, 0] = 1
+        x[0, 13] = i % 2
+        pages.append((x, [scans.BREAK if (t + i) % 2 else scans.BODY for t in range(6)]))
+    model = scans.fit_chain(pages)
+    assert model.moves[scans.BODY, scans.BREAK] > model.moves[scans.BODY, scans.BODY] + 1 and model.moves[scans.BREAK, scans.BODY] > model.moves[scans.BREAK, scans.BREAK] + 1
+
+
+def test_filters_let_all_members_pass(spark):
+    import xxhash
+
+    words = [f"w{i}é" for i in range(3000)]
+    bits = scans.bit_filter(spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")))
+    passed = lambda w: scans._set(bits, xxhash.xxh64_intdigest(w, 42))
+    assert all(map(passed, words)) and sum(passed(f"v{i}") for i in range(3000)) < 30
+
+
 def test_paragraphs_follow_the_labels_of_the_model():
     """A break is where the sequence model says so, whatever the fixed rule says, in pages and in chunks alike."""
     text = "Page 7\nthe model reads every word\nof the page be-\nfore it\nanswers the ques-\ntions\nand waits\n8"
@@ -360,7 +415,7 @@ def test_paragraphs_follow_the_labels_of_the_model():
             return [scans.HEADER, scans.BODY, scans.BREAK, scans.BODY, scans.BODY, scans.BODY, scans.BREAK, scans.HEADER]
 
     reader = scans.Reader(Model(None, None, None, None), frozenset())
-    out = scans.rebuild(text, [(0, 6), (len(text) - 1, len(text))], {}, reader)
+    out = scans.rebuild(text, [(0, 6), (len(text) - 1, len(text))], {}, set(), reader)
     assert out == "the model reads every word\nof the page before it answers the questions\nand waits"
 
 
