@@ -7,7 +7,7 @@ wide payload is then read file by file under these bitmaps, without being shuffl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +36,13 @@ class DeliveryLog:
     first; a null counts as larger than any value, and equal rows are told apart by file and position, so
     repeated rows leave one copy. Rows whose identifier is null can't be copies of each other and all stay.
     An empty table gives an empty result. Columns may have any names but __file and __row.
+
+    opener: from a file's URI to a pyarrow file system and the path in it, called in the tasks; by default the
+    local one, Hadoop's, or an object store's with the credentials of its environment.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, order: list[str]):
-        self.spark, self.path, self.key, self.order = spark, path, key, order
+    def __init__(self, spark: SparkSession, path: str, key: str, order: list[str], opener: Callable[[str], tuple] | None = None):
+        self.spark, self.path, self.key, self.order, self.opener = spark, path, key, order, opener or open_system
         self.frame = spark.read.parquet(path)
 
     def _narrow(self) -> DataFrame:
@@ -69,10 +72,10 @@ class DeliveryLog:
     def read(self, columns: list[str], surplus: bool = False) -> DataFrame:
         """The given columns of the rows that stay, or of the surplus ones."""
         schema = T.StructType([self.frame.schema[c] for c in columns])
-        names = list(columns)
+        names, opener = list(columns), self.opener
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _read_under_bitmaps(batches, names, surplus)
+            yield from _read_under_bitmaps(batches, names, surplus, opener)
 
         work = self.bitmaps()
         task = F.floor((F.col("bucket") - 1) / BUCKETS_A_TASK)
@@ -86,26 +89,39 @@ class DeliveryLog:
         return self.read(columns or self.frame.columns, surplus=True)
 
 
-def _read_under_bitmaps(batches: Iterator[pa.RecordBatch], names: list[str], surplus: bool) -> Iterator[pa.RecordBatch]:
+# Schemes of Spark's connectors and those that pyarrow has for the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfs"}
+
+
+def open_system(uri: str) -> tuple:
+    """The pyarrow file system of a file's URI as Spark writes it, and the path in it."""
+    from urllib.parse import unquote, urlparse
+
+    from pyarrow import fs
+
+    parts = urlparse(uri)
+    if parts.scheme in ("", "file"):
+        return fs.LocalFileSystem(), unquote(parts.path)
+    scheme = SCHEMES.get(parts.scheme, parts.scheme)
+    if scheme == "s3":
+        # names of buckets aren't part of a region's address here; the path keeps its escapes undone
+        return fs.S3FileSystem(), unquote(parts.netloc + parts.path)
+    return fs.FileSystem.from_uri(scheme + uri[len(parts.scheme) :])
+
+
+def _read_under_bitmaps(batches: Iterator[pa.RecordBatch], names: list[str], surplus: bool, opener: Callable[[str], tuple]) -> Iterator[pa.RecordBatch]:
     """Reads each file's row groups that the given buckets touch, and filters them by the bitmaps."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.parquet as pq
-    from pyarrow import fs
 
     now, buckets = None, {}
 
     def emit() -> Iterator[pa.RecordBatch]:
         if now is None:
             return
-        if now.startswith("file:"):
-            from urllib.parse import unquote, urlparse
-
-            source = pq.ParquetFile(unquote(urlparse(now).path))
-        else:
-            system, path = fs.FileSystem.from_uri(now)
-            source = pq.ParquetFile(path, filesystem=system)
-        with source:
+        system, path = opener(now)
+        with pq.ParquetFile(path, filesystem=system) as source:
             start, meta = 0, source.metadata
             for g in range(meta.num_row_groups):
                 n = meta.row_group(g).num_rows

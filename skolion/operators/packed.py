@@ -103,6 +103,9 @@ def _as_marked(c: Column, n: Notation) -> Column:
     return F.regexp_replace(F.regexp_replace(c, n.hard, HARD), ",", COMMA)
 
 
+_CUT = r"(?<=[;|/\t\n\r·•、,])|(?=[;|/\t\n\r·•、,])"
+
+
 def known_compounds(df: DataFrame, field: str) -> DataFrame:
     """Distinct quoted values of the column that hold a delimiter: what stands as one value somewhere."""
     marked = _marked(F.col(field), LABELS)
@@ -111,19 +114,17 @@ def known_compounds(df: DataFrame, field: str) -> DataFrame:
     return one.where(F.col("compound").rlike(r"[;|/\t\n\r·•、,]")).distinct()
 
 
-def _runs(field: Column, longest: int = 4) -> Column:
-    """Unquoted stretches of 2 to `longest` neighbouring pieces with the delimiters between them."""
+def _runs(field: Column, pieces: list[int]) -> Column:
+    """Unquoted stretches of so many neighbouring pieces as are given, with the delimiters between them."""
     plain = F.regexp_replace(_marked(field, LABELS), f"(?s){OPEN}[^{OPEN}{CLOSE}]*{CLOSE}", OPEN)
     # the marked text has lost which delimiter stood where; cut the raw text at quotes instead
     raw = F.regexp_replace(F.regexp_replace(field, r'\\"|""', QUOTE), r'(?s)"[^"]*"', OPEN)
     raw = F.when(F.contains(plain, F.lit(OPEN)), raw).otherwise(field)
     raw = F.regexp_replace(raw, r"(?s)^\s*[\[{](.*)[\]}]\s*$", "$1")
     stretches = F.split(raw, OPEN)
-    cut = r"(?<=[;|/\t\n\r·•、,])|(?=[;|/\t\n\r·•、,])"
-
     def of(stretch: Column) -> Column:
-        atoms = F.split(stretch, cut)
-        lengths = F.array(*[F.lit(2 * k - 1) for k in range(2, longest + 1)])
+        atoms = F.split(stretch, _CUT)
+        lengths = F.array(*[F.lit(2 * k - 1) for k in pieces])
         starts = F.sequence(F.lit(1), F.size(atoms))
         return F.flatten(F.transform(starts, lambda i: F.transform(
             F.filter(lengths, lambda k: i + k - 1 <= F.size(atoms)), lambda k: _strip(F.array_join(F.slice(atoms, i, k), "")))))
@@ -141,8 +142,11 @@ def explode_field(df: DataFrame, key: str, field: str, n: Notation, compounds: b
     rows = df.select(F.col(key).alias("k"), F.col(field).alias("f")).where(F.length(F.trim("f")) > 0).distinct()
     found = F.lit(None).cast("array<string>")
     if compounds:
-        runs = rows.where(F.col("f").rlike(r"[;|/\t\n\r·•、,]")).select("k", "f", F.explode(_runs(F.col("f"))).alias("compound"))
-        hits = runs.join(known_compounds(df, field), "compound", "left_semi").groupBy(F.col("k").alias("hk"), F.col("f").alias("hf")).agg(F.collect_set("compound").alias("whole"))
+        whole = known_compounds(df, field)
+        # how many pieces they have: a few numbers, whatever the rows
+        pieces = sorted(r[0] for r in whole.select(((F.size(F.split("compound", _CUT)) + 1) / 2).cast("int")).distinct().collect())
+        runs = rows.where(F.col("f").rlike(r"[;|/\t\n\r·•、,]")).select("k", "f", F.explode(_runs(F.col("f"), pieces or [2])).alias("compound"))
+        hits = runs.join(whole, "compound", "left_semi").groupBy(F.col("k").alias("hk"), F.col("f").alias("hf")).agg(F.collect_set("compound").alias("whole"))
         rows = rows.join(hits, F.col("k").eqNullSafe(F.col("hk")) & (F.col("f") == F.col("hf")), "left").select("k", "f", "whole")
         found = F.coalesce(F.col("whole"), F.array().cast("array<string>"))
     got = values(F.col("f"), n, found if compounds else None)
