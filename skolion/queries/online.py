@@ -46,9 +46,10 @@ def arm_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("event_type", "arm", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("event_type")), 3).alias("share"))
 
 
-@R.add(sql="SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
+@R.add(sql="SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def p95_by_group(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    found = metrics.percentiles(table(spark, sf, "events").select(F.col("event_type").alias("g"), F.col("value").alias("v")), 0.95)
+    return found.select(F.col("g").alias("event_type"), "n", F.round("p", 6).alias("p95"))
 
 
 @R.add(sql="SELECT lam::DOUBLE / 10 AS weight, round(greatest(0, 1 - 2 * abs(lam / 10.0 - 0.25)), 6) AS pre, round(greatest(0, 1 - 2 * abs(lam / 10.0 - 0.85)), 6) AS post FROM range(11) t(lam)")
