@@ -58,6 +58,10 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.7, prior_weight: float
     return spread(rows).mapInPandas(pick, f"qid {kinds['qid']}, id {kinds['id']}, score double, rank int")
 
 
+#: What is told where nothing was retrieved.
+NOTHING = "No relevant passage was retrieved."
+
+
 def overlaps(contexts: DataFrame) -> DataFrame:
     """(qid, id, rank, pos, sentence, overlap) of every quotable sentence of (qid, question, id, rank, text) that
     shares a word of content with the question."""

@@ -103,8 +103,9 @@ def co_citation(cites: DataFrame, starts: DataFrame, limit: int = 10) -> DataFra
     return listing(both.groupBy("start", "other").agg(F.count("*").alias("n")), "start", [F.desc("n"), "other"], limit)
 
 
-def hops_from(papers: DataFrame, start: str, most: int = 8) -> DataFrame:
-    """(author, hops, path): fewest shared papers between an author and any other, at most `most`.
+def hops_from(papers: DataFrame, start: str, most: int | None = None, goal: str | None = None) -> DataFrame:
+    """(author, hops, path): fewest shared papers between an author and any other, with a goal the row of that one
+    alone, or none. Steps end when nobody new is reached, or at `most` papers.
 
     path is the smallest of the shortest ones. Every step joins the frontier only; it is written out each time,
     so lineage doesn't grow and a lost executor costs one step.
@@ -112,20 +113,25 @@ def hops_from(papers: DataFrame, start: str, most: int = 8) -> DataFrame:
     w = materialise(wrote(papers))
     seen = w.where(F.col("author") == start).select("author").distinct().withColumn("hops", F.lit(0)).withColumn("path", F.col("author"))
     seen = frontier = materialise(seen)
-    for hop in range(1, most + 1):
+    hop = 0
+    while most is None or hop < most:
+        if goal is not None and not (met := seen.where(F.col("author") == goal)).isEmpty():
+            return met
+        hop += 1
         on = frontier.join(w, "author").select("paper_id", "path").groupBy("paper_id").agg(F.min("path").alias("path"))
         new = on.join(w, "paper_id").groupBy("author").agg(F.min(F.concat_ws(" > ", "path", "paper_id")).alias("path")).join(seen.select("author"), "author", "left_anti")
         frontier = materialise(new.select("author", F.lit(hop).alias("hops"), F.concat_ws(" > ", "path", "author").alias("path")))
         if frontier.isEmpty():
             break
         seen = materialise(seen.unionByName(frontier))
-    return seen
+    return seen if goal is None else seen.where(F.col("author") == goal)
 
 
-def pagerank(weighted: DataFrame, iterations: int = 20, damping: float = 0.85, keep: int = 4) -> DataFrame:
+def pagerank(weighted: DataFrame, iterations: int = 100, damping: float = 0.85, keep: int = 4, tolerance: float = 1e-6) -> DataFrame:
     """(id, rank) over (src, dst, weight); parallel edges add up, nodes without out-edges give to all alike.
 
-    Only nodes with an edge have a rank. Lineage is cut every `keep` iterations.
+    Only nodes with an edge have a rank. Lineage is cut every `keep` iterations; they end there once the last one
+    has changed ranks by less than `tolerance` a node in all, and after `iterations` at the latest.
     """
     e = materialise(weighted.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     out = e.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -139,8 +145,10 @@ def pagerank(weighted: DataFrame, iterations: int = 20, damping: float = 0.85, k
     for i in range(iterations):
         lost = ranks.where("gives IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))  # one row
         got = ranks.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = ids.join(got, F.col("id") == F.col("to"), "left").crossJoin(F.broadcast(lost)).select(
-            "id", "gives", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
+        new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
+        ranks = ranks.join(got, F.col("id") == F.col("to"), "left").crossJoin(F.broadcast(lost)).select("id", "gives", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
         if (i + 1) % keep == 0:
             ranks = materialise(ranks)
+            if tolerance and ranks.agg(F.sum("change")).first()[0] < tolerance * n:
+                break
     return ranks.select("id", "rank")

@@ -38,6 +38,10 @@ class GraphRag:
     """passages (id, paper_id, text), questions (qid, question), papers and similar as in operators.graph.
 
     Passages of unknown papers are found but lend no seeds. Null texts match nothing.
+
+    embed: from (rows, key, text) to (key, embedding); rerank: from the candidates (qid, question, id, rank, score,
+    prior, text) and a number to as many (qid, id, score, rank); answer: from contexts (qid, question, id, rank,
+    text) to (qid, answer, sources). vectors_of: given vectors (id, embedding) in place of the passages' own.
     """
 
     passages: DataFrame
@@ -46,14 +50,20 @@ class GraphRag:
     similar: DataFrame
     settings: Settings = Settings()
     keep: Callable[[DataFrame], DataFrame] | None = None
+    embed: Callable[[DataFrame, str, str], DataFrame] = dense.hash_embed
+    rerank: Callable[[DataFrame, int], DataFrame] | None = None
+    answer: Callable[[DataFrame], DataFrame] = answers.extractive
+    vectors_of: DataFrame | None = None
 
     @cached_property
     def vectors(self) -> DataFrame:
-        return materialise(dense.hash_embed(self.passages.where("text IS NOT NULL"), "id", "text"))
+        if self.vectors_of is not None:
+            return self.vectors_of.select("id", "embedding")
+        return materialise(self.embed(self.passages.where("text IS NOT NULL"), "id", "text"))
 
     @cached_property
     def asked(self) -> DataFrame:
-        return materialise(dense.hash_embed(self.questions, "qid", "question"))
+        return materialise(self.embed(self.questions, "qid", "question"))
 
     @cached_property
     def lexical(self) -> DataFrame:
@@ -103,6 +113,9 @@ class GraphRag:
         rows = self.candidates(mode)
         if self.keep:
             rows = self.keep(rows)
+        if self.rerank:
+            texts = rows.join(self.passages.select("id", "text"), "id").join(self.questions, "qid")
+            return self.rerank(texts.select("qid", "question", "id", "rank", "score", "prior", "text"), self.settings.final)
         if mode == "vector_only":
             return fusion.merge_pools(rows.drop("prior"), rows.drop("prior").limit(0)).where(F.col("rank") <= self.settings.final)
         withv = rows.join(self.vectors, "id", "left").join(self.asked.select("qid", F.col("embedding").alias("question")), "qid")
@@ -112,8 +125,12 @@ class GraphRag:
         return self.ranked(mode).join(self.passages, "id").join(self.questions, "qid").select("qid", "question", "id", "paper_id", "rank", "score", "text")
 
     def ask(self, mode: str = "graph_hybrid") -> DataFrame:
-        """(qid, mode, answer, sources, retrieved, contexts) of every question with contexts."""
+        """(qid, mode, answer, sources, retrieved, contexts) of every question; where nothing was retrieved, the answer
+        says so and the lists are empty."""
         c = materialise(self.contexts(mode))
         held = c.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "paper_id", "text"))).alias("x"))
         got = held.select("qid", F.array_distinct(F.transform("x", lambda x: x["paper_id"])).alias("retrieved"), F.transform("x", lambda x: x["text"]).alias("contexts"))
-        return answers.extractive(c).join(got, "qid").select("qid", F.lit(mode).alias("mode"), "answer", "sources", "retrieved", "contexts")
+        told = self.answer(c.select("qid", "question", "id", "rank", "text")).join(got, "qid")
+        every = self.questions.select("qid").distinct().join(told, "qid", "left")
+        none = lambda c: F.coalesce(c, F.array().cast(dict(told.dtypes)[c])).alias(c)
+        return every.select("qid", F.lit(mode).alias("mode"), F.coalesce("answer", F.lit(answers.NOTHING)).alias("answer"), none("sources"), none("retrieved"), none("contexts"))
