@@ -77,7 +77,7 @@ def snippet(c: Column | str, size: int = 280) -> Column:
 
 
 def paper_ids(c: Column | str) -> Column:
-    return F.regexp_extract_all(_c(c), F.lit(r"\b(\d{4}\.\d{4,5})\b"), 1)
+    return F.regexp_extract_all(_c(c), F.lit(r"\b(\d{4}\.\d{4,5})(?:v\d+)?\b"), 1)
 
 
 def without_version(c: Column | str) -> Column:

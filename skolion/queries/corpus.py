@@ -80,10 +80,40 @@ def ingest_todo(spark: SparkSession, sf: str) -> DataFrame:
     return stores.missing(table(spark, sf, "papers").select("paper_id").distinct(), table(spark, sf, "ingest_requests"), "paper_id")
 
 
-@R.add(sql="SELECT DISTINCT paper_id FROM paper_vectors WHERE paper_id IN (SELECT paper_id FROM papers)")
+@R.add(sql="SELECT v.paper_id, title, len(embedding) AS size, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM (SELECT DISTINCT * FROM paper_vectors) v JOIN (SELECT paper_id, min(title) AS title FROM papers GROUP BY 1) USING (paper_id)")
 def vectors_with_metadata(spark: SparkSession, sf: str) -> DataFrame:
     one = table(spark, sf, "papers").groupBy("paper_id").agg(F.min("title").alias("title"))
-    return stores.with_metadata(table(spark, sf, "paper_vectors").select("paper_id").distinct(), one, "paper_id").select("paper_id")
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4)
+    return stores.with_metadata(table(spark, sf, "paper_vectors").distinct(), one, "paper_id").select("paper_id", "title", F.when(F.col("embedding").isNotNull(), F.size("embedding").cast("bigint")).alias("size"), total.alias("total"))
+
+
+@R.add(sql="SELECT chunk_id, min(paper_id) AS paper_id, min(length(text)) AS n FROM chunks WHERE chunk_id IN (SELECT paper_id || '::0' FROM papers) OR chunk_id IN (SELECT paper_id || '::2' FROM papers) GROUP BY 1")
+def chunks_of_list(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = table(spark, sf, "papers").select(F.explode(F.array(F.concat("paper_id", F.lit("::0")), F.concat("paper_id", F.lit("::2")))).alias("chunk_id"))
+    found = stores.chosen(table(spark, sf, "chunks"), wanted, "chunk_id")
+    return found.groupBy("chunk_id").agg(F.min("paper_id").alias("paper_id"), F.min(F.char_length("text")).cast("bigint").alias("n"))
+
+
+@R.add(sql="SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = 7")
+def document_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    return stores.one(table(spark, sf, "documents"), "doc_id", 7).select("doc_id", "lang", "n_chars")
+
+
+@R.add(sql="SELECT chunk_id, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_id) AS place FROM (SELECT DISTINCT paper_id, chunk_id FROM chunks)")
+def chunks_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    return stores.ordered(table(spark, sf, "chunks").select("paper_id", "chunk_id").distinct(), "paper_id", "chunk_id").select("chunk_id", "place")
+
+
+@R.add(
+    sql=f"""WITH i AS (SELECT chunk_id, delivery_id, produced_at IS NULL AS late, sha1(from_hex('{T.NAMESPACE.replace("-", "")}') || encode(chunk_id)) AS h FROM chunks),
+p AS (SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id, * FROM i)
+SELECT point_id, coalesce(max(delivery_id) FILTER (late), max(delivery_id)) AS payload FROM p GROUP BY 1"""
+)
+def vector_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of the chunks, of which those without a time of production come in again and replace the others."""
+    rows = table(spark, sf, "chunks").select(T.point_id("chunk_id").alias("point_id"), F.col("delivery_id").alias("payload"), F.col("produced_at").isNull().alias("late"))
+    stored, new = (rows.where(c).groupBy("point_id").agg(F.max("payload").alias("payload")) for c in (~F.col("late"), F.col("late")))
+    return stores.replace_by(stored, new, "point_id")
 
 
 @R.add(
@@ -118,7 +148,7 @@ def sample_per_topic(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.per_group(table(spark, sf, "documents").select("topic", "doc_id"), "topic", "doc_id", 6)
 
 
-@R.add(sql="SELECT item_id, CASE WHEN ('0x' || substr(md5('42:' || item_id), 1, 8))::UBIGINT / 4294967296.0 < 0.6 THEN 'train' ELSE 'validation' END AS part FROM gold_qa")
+@R.add(sql="SELECT item_id, CASE WHEN row_number() OVER (ORDER BY substr(md5('42:' || item_id), 1, 13)) <= floor(count(*) OVER () * 0.6) THEN 'train' ELSE 'validation' END AS part FROM gold_qa")
 def split_gold(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.split(table(spark, sf, "gold_qa").select("item_id"), "item_id", 0.6)
 
@@ -148,9 +178,21 @@ def citation_fields(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "chunks").select("chunk_id", "delivery_id", T.page_range("page_start", "page_end").alias("page_range"), T.snippet("text").alias("snippet"), T.without_version("chunk_id").alias("plain_id"))
 
 
-@R.add(sql=r"SELECT DISTINCT d.paper_id AS src, r AS dst FROM (SELECT paper_id, unnest(regexp_extract_all(text, '\b(\d{4}\.\d{4,5})\b', 1)) AS r FROM paper_pages) d WHERE r IN (SELECT paper_id FROM papers) AND r <> d.paper_id")
+#: No page of the test tables cites; this adds a text a paper that cites the first one of its year and one of no year.
+CITING = r"""citing AS (SELECT paper_id, text FROM paper_pages UNION ALL SELECT paper_id, 'This builds on arXiv:' || min(paper_id) OVER (PARTITION BY year) || 'v2 and (9999.99999).' FROM (SELECT DISTINCT paper_id, year FROM papers)),
+cites AS (SELECT DISTINCT d.paper_id AS src, r AS dst FROM (SELECT paper_id, unnest(regexp_extract_all(text, '\b(\d{4}\.\d{4,5})(?:v\d+)?\b', 1)) AS r FROM citing) d WHERE r IN (SELECT paper_id FROM papers) AND r <> d.paper_id)"""
+
+
+def citing(spark: SparkSession, sf: str) -> DataFrame:
+    known = table(spark, sf, "papers").select("paper_id", "year").distinct()
+    first = known.groupBy("year").agg(F.min("paper_id").alias("first"))
+    added = known.join(first, known["year"].eqNullSafe(first["year"])).select("paper_id", F.concat(F.lit("This builds on arXiv:"), "first", F.lit("v2 and (9999.99999).")).alias("text"))
+    return table(spark, sf, "paper_pages").select("paper_id", "text").unionByName(added)
+
+
+@R.add(sql=f"WITH {CITING} SELECT * FROM cites")
 def cites_extract(spark: SparkSession, sf: str) -> DataFrame:
-    found = table(spark, sf, "paper_pages").select(F.col("paper_id").alias("src"), F.explode(T.paper_ids("text")).alias("dst")).where("src <> dst").distinct()
+    found = citing(spark, sf).select(F.col("paper_id").alias("src"), F.explode(T.paper_ids("text")).alias("dst")).where("src <> dst").distinct()
     return found.join(table(spark, sf, "papers").select(F.col("paper_id").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
 
 

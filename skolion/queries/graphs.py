@@ -9,6 +9,7 @@ from ..operators import dense, graph
 from ..session import table
 from . import Registry
 from . import sql as S
+from .corpus import CITING, cites_extract
 from .records import delivery_log
 from .retrieval import _FIRST, paper_ranks
 
@@ -120,7 +121,7 @@ def co_citation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add(
-    sql=f"""WITH RECURSIVE {_R}, s AS (SELECT min(author) AS a FROM wrote), b(author, hops) AS (SELECT a, 0 FROM s UNION SELECT y.author, hops + 1 FROM b JOIN wrote x ON x.author = b.author JOIN wrote y ON y.paper_id = x.paper_id WHERE hops < 8)
+    sql=f"""WITH RECURSIVE {_R}, s AS (SELECT min(author) AS a FROM wrote), b(author, hops) AS (SELECT a, 0 FROM s UNION SELECT y.author, hops + 1 FROM b JOIN wrote x ON x.author = b.author JOIN wrote y ON y.paper_id = x.paper_id WHERE hops < 12)
 SELECT author, min(hops) AS hops FROM b GROUP BY 1"""
 )
 def collab_path(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,13 +130,24 @@ def collab_path(spark: SparkSession, sf: str) -> DataFrame:
     return graph.hops_from(p, first).select("author", "hops")
 
 
-def _ranks(iterations: int) -> str:
+def _ranks(iterations: int, source: str = "e") -> str:
     steps = ", ".join(
         f"r{i} AS MATERIALIZED (SELECT i.id, 0.15 / n + 0.85 * (coalesce(g.got, 0) + l.lost / n) AS rank FROM ids i CROSS JOIN nn CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM r{i - 1} WHERE id NOT IN (SELECT src FROM sh)) l"
         f" LEFT JOIN (SELECT dst, sum(rank * share) AS got FROM r{i - 1} JOIN sh ON src = id GROUP BY 1) g ON g.dst = i.id)" for i in range(1, iterations + 1))
-    return f"sh AS (SELECT src, dst, score / sum(score) OVER (PARTITION BY src) AS share FROM e), ids AS (SELECT src AS id FROM e UNION SELECT dst FROM e), nn AS (SELECT count(*) AS n FROM ids), r0 AS (SELECT id, 1.0 / n AS rank FROM ids, nn), {steps}"
+    return f"sh AS (SELECT src, dst, score / sum(score) OVER (PARTITION BY src) AS share FROM {source}), ids AS (SELECT src AS id FROM {source} UNION SELECT dst FROM {source}), nn AS (SELECT count(*) AS n FROM ids), r0 AS (SELECT id, 1.0 / n AS rank FROM ids, nn), {steps}"
 
 
 @R.add(sql=f"WITH {_E}, {_ranks(20)} SELECT id, round(rank, 6) AS rank FROM r20")
 def pagerank_fixed(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.pagerank(similar(spark, sf).select("src", "dst", F.col("score").alias("weight")), 20).select("id", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(similar(spark, sf).select("src", "dst", F.col("score").alias("weight")), 20, tolerance=0).select("id", F.round("rank", 6).alias("rank"))
+
+
+_BOTH = "both_ AS (SELECT src, dst, sum(score) AS score FROM (SELECT * FROM e UNION ALL SELECT src, dst, 1.0 FROM cites) GROUP BY 1, 2)"
+
+
+@R.add(sql=f"WITH {_E}, {CITING}, {_BOTH}, {_ranks(20, 'both_')} SELECT id, round(rank, 6) AS rank FROM r20")
+def pagerank_cites(spark: SparkSession, sf: str) -> DataFrame:
+    """Over similarity and citations, a citation of weight 1."""
+    cited = cites_extract(spark, sf).select("src", "dst", F.lit(1.0).alias("weight"))
+    both = similar(spark, sf).select("src", "dst", F.col("score").alias("weight")).unionByName(cited)
+    return graph.pagerank(both, 20, tolerance=0).select("id", F.round("rank", 6).alias("rank"))

@@ -264,7 +264,12 @@ def gold_counts(spark: SparkSession, sf: str) -> DataFrame:
     return questions(spark, sf).groupBy("topic", "query_type").agg(F.count("*").alias("n"))
 
 
-@R.add()
+@R.add(
+    sql=f"""WITH ck AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY received_at, delivery_id) rn FROM chunks) WHERE rn = 1), {S.bm25('ck', 'chunk_id')}, t AS ({S.top('bm25', 5)}), p AS (SELECT paper_id, min(title) AS title FROM papers GROUP BY 1),
+m AS (SELECT t.qid, t.rank, t.score, t.id AS chunk_id, coalesce(c.paper_id, '?') AS paper_id, coalesce(p.title, c.paper_id, '?') AS title, coalesce(page_start, 0) AS a, coalesce(page_end, page_start, 0) AS b, text FROM t JOIN ck c ON c.chunk_id = t.id LEFT JOIN p ON p.paper_id = c.paper_id),
+g AS (SELECT *, CASE WHEN a = b THEN 'p.' || a ELSE 'pp.' || a || '-' || b END AS page_range FROM m)
+SELECT qid, rank, chunk_id, paper_id, title, score, page_range, CASE WHEN length(text) > 280 THEN left(text, 280) || '…' ELSE text END AS snippet, title || ' (' || paper_id || '), ' || page_range AS label FROM g"""
+)
 def batch_search(spark: SparkSession, sf: str) -> DataFrame:
     """Citations of the best chunks for every question: lexical pool over chunks, joined with their papers."""
     chunks = chunk_table(spark, sf)

@@ -46,6 +46,15 @@ def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", ((F.substring("content", 1, 4) == F.lit(PDF)) & (F.col("length") >= 10_000)).alias("ok"))
 
 
+def rehydrated_lines(spark: SparkSession, path: str, schema: str, key: str = "paper_id") -> DataFrame:
+    """The first line of each key of a cache of JSON lines that was appended to, files in the order of their names.
+    Keys are texts, also where they were written as numbers; a null key is a key."""
+    kept = ", ".join(f"{p.strip().split()[0]} string" if p.strip().split()[0] == key else p for p in schema.split(","))
+    rows = spark.read.schema(kept).json(path)
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return rows.withColumn("__at", place).groupBy(key).agg(F.min_by(F.struct(*rows.columns), "__at").alias("r")).select("r.*")
+
+
 def rehydrated(spark: SparkSession, path: str, key: str, order: list[str]) -> DeliveryLog:
     """The first row of each key of a parquet cache that was appended to."""
     return DeliveryLog(spark, path, key, order)

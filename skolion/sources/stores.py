@@ -38,6 +38,21 @@ def head_per_group(rows: DataFrame, group: str, order: list[str], n: int) -> Dat
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= n)
 
 
+def one(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows of one key; the filter reaches the scan."""
+    return rows.where(F.col(key) == F.lit(value))
+
+
+def chosen(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in a table of wanted keys, each as often as it is stored; unknown keys give none."""
+    return rows.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def ordered(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """Rows with their place within the group in the order of the key as text, as a scan by id gives them."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.col(key).cast("string"))))
+
+
 def fresh(cache: DataFrame, created: str, seconds: int = 3600) -> DataFrame:
     """Rows of a cache that haven't expired."""
     return cache.where(F.col(created) > F.current_timestamp() - F.expr(f"INTERVAL {seconds} SECONDS"))

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from skolion.functions import text as T
 from skolion.functions import vector as V
-from skolion.operators import answers, chunking, dense, fusion, graph, metrics, safety, sampling
+from skolion.operators import answers, chunking, delivery, dense, fusion, graph, metrics, packed, safety, sampling
 from skolion.operators.lexical import Bm25, TfIdf, best
 from skolion.plans.engine import Collection
+from skolion.plans.graphrag import GraphRag
 from skolion.sources import files, stores
 from skolion.streaming import online
 from skolion.streaming.drift import Adwin
@@ -419,3 +420,99 @@ def test_ingest_goes_on_where_it_stopped(spark, tmp_path):
     q.awaitTermination()
     got = values(spark.table("firsts"), "n")
     assert len(got) == 4 and {(3,), (4,), (5,)} <= set(got)
+
+
+# ---- exact ranks, splits, plug-points
+
+
+def test_percentiles_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [("a", rng.gauss(0, 1e6)) for _ in range(3000)] + [("b", float(rng.randint(0, 3))) for _ in range(999)] + [(None, 5.0), (None, 7.0), ("c", None), ("d", 1e-300), ("d", 1e300), ("e", 2.5)]
+    got = {r.g: (r.n, r.p) for r in metrics.percentiles(spark.createDataFrame(rows, "g string, v double"), 0.95).collect()}
+    assert set(got) == {"a", "b", None, "d", "e"}
+    for g, (n, p) in got.items():
+        own = [v for k, v in rows if k == g and v is not None]
+        assert n == len(own) and abs(p - np.percentile(own, 95)) <= 1e-9 * max(1, abs(p))
+    assert metrics.percentiles(spark.createDataFrame([], "g string, v double"), 0.95).count() == 0
+
+
+def test_split_is_exact(spark):
+    for n in (0, 1, 7, 160):
+        parts = sampling.split(spark.range(n), "id", 0.6).groupBy("part").count().collect()
+        assert {r.part: r["count"] for r in parts}.get("train", 0) == int(n * 0.6)
+
+
+def test_long_compounds_stay_whole(spark):
+    long = "alpha, beta, gamma, delta, epsilon"
+    rows = spark.createDataFrame([("1", f'"{long}"; zeta'), ("2", f"zeta; {long}"), ("3", "alpha, beta"), ("4", None)], "paper_id string, topics string")
+    found = packed.explode_field(rows, "paper_id", "topics", packed.LABELS, compounds=True)
+    assert values(found, "paper_id", "pos", "item_value") == [("1", 1, long), ("1", 2, "zeta"), ("2", 1, "zeta"), ("2", 2, long), ("3", 1, "alpha"), ("3", 2, "beta")]
+
+
+def test_delivery_through_another_file_system(spark, tmp_path):
+    spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "z")], "at int, key string, wide string").write.parquet(str(tmp_path / "t"))
+
+    def opener(uri):
+        from pyarrow import fs
+
+        return fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), uri.split(tmp_path.name, 1)[1].lstrip("/")
+
+    log = delivery.DeliveryLog(spark, str(tmp_path / "t"), "key", ["at"], opener)
+    assert values(log.kept(["key", "wide"]), "key", "wide") == [("a", "x"), ("b", "z")]
+    assert delivery.open_system("file:/tmp/a%20b")[1] == "/tmp/a b"
+    system, path = delivery.open_system("s3a://bucket/a/b%20c.parquet")
+    assert system.type_name == "s3" and path == "bucket/a/b c.parquet"
+
+
+def test_lines_come_back_with_their_first_row(spark, tmp_path):
+    (tmp_path / "1.json").write_text('{"paper_id": 2212.14720, "t": "x"}\n{"paper_id": "b", "t": "y"}\n')
+    (tmp_path / "2.json").write_text('{"paper_id": "b", "t": "z"}\n{"paper_id": null, "t": "n"}\n')
+    got = files.rehydrated_lines(spark, str(tmp_path), "paper_id double, t string")
+    assert {(r.paper_id, r.t) for r in got.collect()} == {("2212.14720", "x"), ("b", "y"), (None, "n")}
+
+
+def test_pagerank_ends_at_its_tolerance(spark):
+    rng = np.random.default_rng(1)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 30, (120, 2)) if a != b})
+    got = {r.id: r["rank"] for r in graph.pagerank(spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src int, dst int, weight double"), tolerance=1e-9).collect()}
+    ids = sorted({x for p in pairs for x in p})
+    m = np.zeros((len(ids), len(ids)))
+    for a, b in pairs:
+        m[ids.index(b), ids.index(a)] = 1
+    total = m.sum(0)
+    m[:, total == 0], total[total == 0] = 1, len(ids)
+    rank = np.full(len(ids), 1 / len(ids))
+    for _ in range(200):
+        rank = 0.15 / len(ids) + 0.85 * (m / total) @ rank
+    assert max(abs(got[i] - r) for i, r in zip(ids, rank)) < 1e-6
+
+
+def test_paths_between_two_authors_have_no_bound(spark):
+    chain = spark.createDataFrame([(f"p{i:02d}", [f"a{i:02d}", f"a{i + 1:02d}"]) for i in range(14)] + [("q", ["z"])], "paper_id string, authors array<string>")
+    row = graph.hops_from(chain, "a00", goal="a12").collect()
+    assert len(row) == 1 and row[0].hops == 12 and row[0].path.split(" > ")[:3] == ["a00", "p00", "a01"]
+    assert graph.hops_from(chain, "a00", goal="z").count() == 0 and graph.hops_from(chain, "a00").count() == 15
+
+
+def test_executor_takes_other_parts(spark, papers):
+    passages = spark.createDataFrame([(1, "a", "Attention helps sparse models find what they need in long texts."), (2, "b", "Concept drift is detected by adaptive windows over streams.")], "id long, paper_id string, text string")
+    questions = spark.createDataFrame([(1, "how is concept drift detected?"), (2, None)], "qid long, question string")
+    none = spark.createDataFrame([], "src string, dst string, score double")
+    seen = []
+
+    def embed(rows, key, text):
+        seen.append(text)
+        return rows.select(key, F.when(F.contains(F.col(text), F.lit("drift")), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("embedding"))
+
+    rag = GraphRag(
+        passages, questions.where("qid = 1"), papers, none, embed=embed, rerank=lambda c, k: c.where("id = 2").select("qid", "id", "score", "rank"),
+        answer=lambda c: c.select("qid", F.concat(F.lit("told: "), "text").alias("answer"), F.array("id").alias("sources")),
+    )
+    told = rag.ask("hybrid").collect()
+    assert len(told) == 1 and told[0].answer.startswith("told: Concept drift") and told[0].sources == [2] and sorted(seen) == ["question", "text"]
+    given = GraphRag(passages, questions.where("qid = 1"), papers, none, embed=embed, vectors_of=spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<double>"))
+    assert given.ranked("vector_only").orderBy("rank").first().id == 1
+    dropped = GraphRag(passages, questions, papers, none, keep=lambda rows: rows.limit(0))
+    assert {r.answer for r in dropped.ask("hybrid").collect()} == {answers.NOTHING} and dropped.ask("hybrid").count() == 2
