@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import TYPE_CHECKING
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..session import materialise
 from .lexical import best
 
 if TYPE_CHECKING:
@@ -106,6 +107,48 @@ def dense_topk(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
     return best(every, k)
 
 
+def dense_over(rows: DataFrame, queries: DataFrame, pairs: DataFrame, k: int, metric: str = "cosine", block: int = QUERY_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(qid, id, score) of the k best rows of every query and of the given (qid, id) pairs; and (qid, lo, hi), the
+    range of each query's scores over all rows. Scores of other pairs never leave the task that computes them.
+    """
+    spark = rows.sparkSession
+    wanted = pairs.groupBy("id").agg(F.collect_set("qid").alias("want"))  # at most the stated queries a row
+    rows, queries = rows.where("embedding IS NOT NULL").join(wanted, "id", "left").select("id", "embedding", "want"), queries.where("embedding IS NOT NULL")
+    kinds = dict(queries.dtypes)["qid"], dict(rows.dtypes)["id"]
+    blocks = max(1, -(-queries.count() // block))
+    parts = []
+    for b in range(blocks):
+        got = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", "embedding").toPandas()
+        sent = spark.sparkContext.broadcast((got["qid"].to_numpy(), np.stack(got["embedding"].to_numpy()).astype(float) if len(got) else np.zeros((0, 1))))
+
+        def score(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            import pandas as pd
+
+            names, q = sent.value
+            line = {n: i for i, n in enumerate(names)}
+            low, high = np.full(len(names), np.inf), np.full(len(names), -np.inf)
+            for batch in batches:
+                if not len(batch) or not len(names):
+                    continue
+                ids = batch["id"].to_numpy()
+                s = np.round(_scores(q, np.stack(batch["embedding"].to_numpy()).astype(float), metric), 6)
+                low, high = np.minimum(low, s.min(1)), np.maximum(high, s.max(1))
+                place = np.argsort(ids, kind="stable")
+                order = place[np.argsort(-s[:, place], axis=1, kind="stable")][:, :k]
+                asked = [(line[n], j) for j, want in enumerate(batch["want"]) if want is not None for n in want if n in line]
+                at = np.concatenate([np.stack([np.repeat(np.arange(len(names)), order.shape[1]), order.ravel()], 1), np.array(asked, dtype=int).reshape(-1, 2)])
+                at = np.unique(at, axis=0)
+                yield pd.DataFrame({"qid": names[at[:, 0]], "id": ids[at[:, 1]], "score": s[at[:, 0], at[:, 1]], "lo": None, "hi": None})
+            seen = np.isfinite(low)
+            if seen.any():
+                yield pd.DataFrame({"qid": names[seen], "id": None, "score": None, "lo": low[seen], "hi": high[seen]})
+
+        parts.append(rows.mapInPandas(score, f"qid {kinds[0]}, id {kinds[1]}, score double, lo double, hi double"))
+    every = materialise(reduce(DataFrame.unionByName, parts))
+    ranges = every.where("lo IS NOT NULL").groupBy("qid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return every.where("lo IS NULL").select("qid", "id", "score"), ranges
+
+
 def mean_pool(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, embedding ARRAY<DOUBLE>): the mean of every key's vectors; null vectors take no part."""
     each = rows.where(F.col(vector).isNotNull()).select(key, F.posexplode(vector).alias("pos", "x"))
@@ -141,6 +184,3 @@ def svd_projection(weights: DataFrame, size: int) -> DataFrame:
     out = svd.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray() * sigma])).toDF(["row", "embedding"])
     return out.join(ids, "row").select("id", "embedding")
 
-
-def rank_within(df: DataFrame, by: str, order: list) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

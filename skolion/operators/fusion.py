@@ -37,9 +37,15 @@ def hybrid_pool(lexical: DataFrame, dense: DataFrame, lam: float = 0.5, pool: in
     return best(fuse(minmax(lex), minmax(den), lam), k)
 
 
-def hybrid_full(lexical: DataFrame, dense: DataFrame, lam: float, k: int) -> DataFrame:
-    """Fusion over all rows: rows without a lexical score have 0, also for the range."""
-    return best(fuse(minmax(lexical, F.lit(0.0)), minmax(dense), lam), k)
+def hybrid_full(lexical: DataFrame, dense: DataFrame, ranges: DataFrame, lam: float, k: int) -> DataFrame:
+    """Fusion over all rows: rows without a lexical score have 0, also for the range.
+
+    dense holds the scores of rows with a lexical score and of each query's best rows, ranges (qid, lo, hi) the range
+    over all. No other row can be among the k best: those before it in dense are not below it in the lexical score.
+    """
+    flat = F.col("hi") - F.col("lo") < FLAT
+    den = dense.join(ranges, "qid").select("qid", "id", F.when(flat, F.lit(0.0)).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("score"))
+    return best(fuse(minmax(lexical, F.lit(0.0)), den, lam), k)
 
 
 def pinned(scores: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, dense, fusion, metrics, safety
+from ..operators import answers, dense, fusion, graph, metrics, safety
 from ..operators.lexical import best
 from ..plans.graphrag import MODES, GraphRag
-from ..session import table
+from ..session import materialise, table
 from . import Registry
 from . import sql as S
-from .graphs import papers, similar
-from .retrieval import bm25_scores, gold_relevance
+from .graphs import _E, _R, _SUB, papers, similar
+from .retrieval import _POOLS, _RELEVANT, bm25_scores, gold_relevance
 
 R = Registry()
 
@@ -132,12 +134,44 @@ def mode_ablation(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@R.add()
+_BUDGETS = (5, 8, 20)
+
+
+def _recalled(name: str, found: str) -> str:
+    return f"{name} AS (SELECT budget, round(avg(coalesce(hits, 0) / n), 6) AS recall FROM (SELECT qid, count(*) AS n FROM rel GROUP BY 1) CROSS JOIN b LEFT JOIN (SELECT budget, qid, count(*) AS hits FROM (SELECT DISTINCT budget, qid, paper_id AS id FROM {found}) JOIN rel USING (qid, id) GROUP BY 1, 2) USING (budget, qid) GROUP BY 1)"
+
+
+@R.add(
+    sql=f"""WITH {_R}, {_E}, {_POOLS}, {_RELEVANT}, b AS (SELECT unnest([{", ".join(map(str, _BUDGETS))}]) AS budget), f AS ({S.fuse('lm', 'dm', '0.5')}), hv AS ({S.top('f', 20)}), vv AS ({S.top('dm', 20)}),
+hp AS (SELECT budget, qid, paper_id, rank FROM hv JOIN documents ON doc_id = id, b WHERE rank <= budget AND paper_id IS NOT NULL), vp AS (SELECT budget, qid, paper_id FROM vv JOIN documents ON doc_id = id, b WHERE rank <= budget AND paper_id IS NOT NULL),
+papers_ranked AS (SELECT budget || '/' || qid AS qid, paper_id AS id, row_number() OVER (PARTITION BY budget, qid ORDER BY first, paper_id) AS rank FROM (SELECT budget, qid, paper_id, min(rank) AS first FROM hp GROUP BY 1, 2, 3)), {_SUB},
+ex AS (SELECT s.qid, paper_id, split_part(s.qid, '/', 1)::INT AS budget, row_number() OVER (PARTITION BY s.qid ORDER BY score DESC, id) AS place FROM (SELECT qid, paper_id FROM sub) s JOIN documents USING (paper_id) JOIN dense d ON d.qid = split_part(s.qid, '/', 2)::BIGINT AND d.id = doc_id WHERE text IS NOT NULL),
+gp AS (SELECT budget, qid, paper_id FROM hp UNION ALL SELECT budget, split_part(qid, '/', 2)::BIGINT, paper_id FROM ex WHERE place <= budget),
+{_recalled('rv', 'vp')}, {_recalled('rh', 'hp')}, {_recalled('rg', 'gp')}
+SELECT budget, rv.recall AS vector_only, rh.recall AS hybrid, rg.recall AS graph_expanded FROM rv JOIN rh USING (budget) JOIN rg USING (budget)"""
+)
 def budget_ablation(spark: SparkSession, sf: str) -> DataFrame:
-    """Recall of papers by the number of passages of the first stage, all budgets in one job."""
+    """Recall of papers by the number of passages of the first stage, all budgets in one job: by vectors, by both
+    sides, and with the best passages of the papers around the hybrid ones added."""
     rag, rel = executor(spark, sf), gold_relevance(spark, sf)
-    found = rag.search(rag.settings.lam, 20).join(rag.passages.select("id", "paper_id"), "id").where("paper_id IS NOT NULL")
-    each = found.withColumn("budget", F.explode(F.array(F.lit(5), F.lit(8), F.lit(20)))).where("rank <= budget").select("budget", "qid", F.col("paper_id").alias("id")).distinct()
-    hits = each.join(rel, ["qid", "id"]).groupBy("budget", "qid").agg(F.count("*").alias("hits"))
-    sizes = rel.groupBy("qid").agg(F.count("*").alias("n")).withColumn("budget", F.explode(F.array(F.lit(5), F.lit(8), F.lit(20))))
-    return sizes.join(hits, ["budget", "qid"], "left").groupBy("budget").agg(F.round(F.avg(F.coalesce("hits", F.lit(0)) / F.col("n")), 6).alias("recall"))
+    where = rag.passages.select("id", "paper_id").where("paper_id IS NOT NULL")
+    budgets = F.explode(F.array(*[F.lit(x) for x in _BUDGETS])).alias("budget")
+    key = F.concat_ws("/", "budget", "qid")
+
+    def within(ranked: DataFrame) -> DataFrame:
+        return ranked.select("*", budgets).where("rank <= budget").join(where, "id").select("budget", "qid", "paper_id", "rank")
+
+    vectors, both = within(rag.search(0, max(_BUDGETS))), materialise(within(rag.search(rag.settings.lam, max(_BUDGETS))))
+    seeds = fusion.first_occurrences(both.select(key.alias("qid"), "paper_id", "rank"), "paper_id").where(F.col("rank") <= rag.settings.seeds)
+    around = graph.weighted_subgraph(rag.papers, rag.similar, seeds, rag.settings.around).select(F.col("qid").alias("key"), "paper_id")
+    inside = around.join(where, "paper_id").select("key", F.split_part("key", F.lit("/"), F.lit(2)).cast("bigint").alias("qid"), "id", "paper_id")
+    scored = inside.join(rag.vectors, "id").join(rag.asked.withColumnRenamed("embedding", "question"), "qid")
+    near = F.round(F.aggregate(F.zip_with("embedding", "question", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), 6)
+    more = best(scored.select(F.col("key").alias("k"), "qid", "id", "paper_id", near.alias("score")), max(_BUDGETS), "k")
+    more = more.select(F.split_part("k", F.lit("/"), F.lit(1)).cast("int").alias("budget"), "qid", "paper_id", "rank").where("rank <= budget")
+    kinds = {"vector_only": vectors, "hybrid": both, "graph_expanded": both.unionByName(more)}
+    each = reduce(DataFrame.unionByName, [found.select(F.lit(kind).alias("kind"), "budget", "qid", F.col("paper_id").alias("id")).distinct() for kind, found in kinds.items()])
+    hits = each.join(rel, ["qid", "id"]).groupBy("budget", "qid").pivot("kind", list(kinds)).count()
+    sizes = rel.groupBy("qid").agg(F.count("*").alias("n")).select("qid", "n", budgets)
+    share = [F.round(F.avg(F.coalesce(kind, F.lit(0)) / F.col("n")), 6).alias(kind) for kind in kinds]
+    return sizes.join(hits, ["budget", "qid"], "left").groupBy("budget").agg(*share)

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import vector as V
 from ..operators import dense, fusion, metrics
 from ..operators.lexical import Bm25, TfIdf, best
-from ..session import table
+from ..session import materialise, table
 from . import Registry
 from . import sql as S
 
@@ -136,8 +136,9 @@ def hybrid_pool(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_full(spark: SparkSession, sf: str) -> DataFrame:
     rows = dense.hash_embed(docs(spark, sf), "doc_id", "text").withColumnRenamed("doc_id", "id")
     asked = dense.hash_embed(questions(spark, sf), "item_id", "question").withColumnRenamed("item_id", "qid")
-    every = dense.dense_topk(rows, asked, 1 << 30, exclude_self=False).drop("rank")
-    return fusion.hybrid_full(bm25_scores(spark, sf), every, 0.3944, K)
+    lexical = materialise(bm25_scores(spark, sf))
+    every, ranges = dense.dense_over(rows, asked, lexical.select("qid", "id"), 4 * K)
+    return fusion.hybrid_full(lexical, every, ranges, 0.3944, K)
 
 
 _ALLOWED = "allowed AS (SELECT DISTINCT item_id AS qid, doc_id AS id FROM (SELECT item_id, unnest(relevant) AS paper_id FROM gold_qa) JOIN documents USING (paper_id))"
@@ -154,7 +155,8 @@ def hybrid_pinned(spark: SparkSession, sf: str) -> DataFrame:
     allowed = metrics.relevance(gold, "item_id", "relevant").withColumnRenamed("id", "paper_id").join(docs(spark, sf).select("doc_id", "paper_id"), "paper_id").select("qid", F.col("doc_id").alias("id")).distinct()
     rows = dense.hash_embed(docs(spark, sf), "doc_id", "text").withColumnRenamed("doc_id", "id")
     asked = dense.hash_embed(gold, "item_id", "question").withColumnRenamed("item_id", "qid")
-    every = dense.dense_topk(rows, asked, 1 << 30, exclude_self=False).drop("rank")
+    allowed = materialise(allowed)
+    every, _ = dense.dense_over(rows, asked, allowed, POOL)
     return fusion.hybrid_pool(fusion.pinned(bm25_scores(spark, sf), allowed), fusion.pinned(every, allowed), LAMBDA, POOL, K)
 
 
@@ -284,7 +286,21 @@ def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-@R.add()
+_GRID = [(w, p) for w in LAMBDAS for p in (20, 100)]
+
+
+@R.add(
+    sql=f"""WITH {S.bm25()}, {_DENSE}, cfg AS (SELECT * FROM (VALUES {", ".join(f"({i}, {w}::DOUBLE, {p})" for i, (w, p) in enumerate(_GRID))}) v(trial, lam, pool)), {_RELEVANT},
+rd AS (SELECT DISTINCT qid, doc_id AS id FROM rel JOIN documents ON paper_id = id), lr AS (SELECT * FROM ({S.top('bm25', POOL)}) WHERE score > 0), dr AS ({S.top('dense', POOL)}),
+a AS (SELECT trial, qid, id, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM lr, cfg WHERE rank <= pool WINDOW w AS (PARTITION BY trial, qid)),
+b AS (SELECT trial, qid, id, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM dr, cfg WHERE rank <= pool WINDOW w AS (PARTITION BY trial, qid)),
+fz AS (SELECT trial, qid, id, round(lam * coalesce(a.s, 0) + (1 - lam) * coalesce(b.s, 0), 6) AS score FROM a FULL JOIN b USING (trial, qid, id) JOIN cfg USING (trial)),
+rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial, qid ORDER BY score DESC, id) AS rank FROM fz) WHERE rank <= 5),
+g AS (SELECT trial, qid, sum(1 / log2(rank + 1)) AS gain FROM rk JOIN rd USING (qid, id) GROUP BY 1, 2), sz AS (SELECT qid, count(*) AS n FROM rd GROUP BY 1),
+nd AS (SELECT trial, qid, round(coalesce(gain, 0) / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM sz CROSS JOIN cfg LEFT JOIN g USING (trial, qid)),
+o AS (SELECT trial, round(avg(ndcg), 6) AS objective FROM nd GROUP BY 1)
+SELECT trial, lam, pool, objective, max(objective) OVER (ORDER BY trial) AS best_so_far FROM cfg JOIN o USING (trial)"""
+)
 def settings_search(spark: SparkSession, sf: str) -> DataFrame:
     """A grid of mixing weights and pool sizes by mean NDCG over the documents of relevant papers."""
     from ..plans import tuning
