@@ -31,6 +31,11 @@ def judged(passages: DataFrame, sources: DataFrame, stored: DataFrame | None = N
     return rows.withColumn("reason", reason).select(*passages.columns, "reason")
 
 
+def dropped(judgement: DataFrame) -> DataFrame:
+    """(chunk_id, reason) of the passages that a filter drops."""
+    return judgement.where("reason IS NOT NULL").select("chunk_id", "reason")
+
+
 def report(judgement: DataFrame) -> DataFrame:
     """(n_in, n_kept, n_dropped) of a filter."""
     return judgement.agg(F.count("*").alias("n_in"), F.count_if(F.col("reason").isNull()).alias("n_kept"), F.count_if(F.col("reason").isNotNull()).alias("n_dropped"))

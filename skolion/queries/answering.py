@@ -46,6 +46,36 @@ def filter_report(spark: SparkSession, sf: str) -> DataFrame:
     return safety.report(provenance_filter(spark, sf))
 
 
+@R.add(sql=f"WITH {_PASSAGES}, j AS (SELECT chunk_id, {_REASON} AS reason FROM pa) SELECT * FROM j WHERE reason IS NOT NULL")
+def dropped_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return safety.dropped(provenance_filter(spark, sf))
+
+
+@R.add(sql=f"WITH {_PASSAGES} SELECT chunk_id, CASE WHEN chunk_id % 2 <> 0 THEN 'untrusted_source' ELSE {_REASON} END AS reason FROM pa")
+def provenance_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunk store holds every second passage only; what it lacks is untrusted."""
+    stored = table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("chunk_id")).unionByName(spark.range(1).select(F.lit(-2).cast("bigint").alias("chunk_id")))
+    return safety.judged(passages(spark, sf), safety.trusted(table(spark, sf, "papers"), ["0000.POISON"]), stored).select("chunk_id", "reason")
+
+
+@R.add(sql="SELECT 'before' AS stage, count(*) AS questions, count(*) AS reached FROM gold_qa WHERE trim(coalesce(question, '')) <> '' UNION ALL SELECT 'after', count(*), 0 FROM gold_qa WHERE trim(coalesce(question, '')) <> ''")
+def vector_attack(spark: SparkSession, sf: str) -> DataFrame:
+    """For every question, a planted passage of an unknown source whose vector is the question's own, whatever its
+    text: how many questions it reaches by vectors alone, before and after the filter."""
+    gold = table(spark, sf, "gold_qa").where(F.trim("question") != "").select(F.col("item_id").alias("qid"), "question")
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "paper_id", "text")
+    planted = gold.select((-F.col("qid") - 1).alias("id"), F.lit("0000.POISON").alias("paper_id"), F.lit(PLANTED[0][2]).alias("text"))
+    vectors = dense.hash_embed(docs, "id", "text").unionByName(dense.hash_embed(gold, "qid", "question").select((-F.col("qid") - 1).alias("id"), "embedding"))
+    every, vectors = docs.unionByName(planted), materialise(vectors)
+    ok = safety.judged(every.withColumnRenamed("id", "chunk_id"), safety.trusted(table(spark, sf, "papers"), ["0000.POISON"])).where("reason IS NULL").select(F.col("chunk_id").alias("id"))
+    out = []
+    for stage, keep in (("before", None), ("after", lambda rows: rows.join(ok, "id", "left_semi"))):
+        told = GraphRag(every, gold, papers(spark, sf), similar(spark, sf), keep=keep, vectors_of=vectors).ranked("vector_only")
+        reached = told.where("id = -qid - 1").agg(F.count_distinct("qid").alias("reached"))
+        out.append(gold.agg(F.lit(stage).alias("stage"), F.count("*").alias("questions")).crossJoin(F.broadcast(reached)))
+    return out[0].unionByName(out[1])
+
+
 @R.add(sql=f"WITH {_PASSAGES} SELECT chunk_id FROM pa WHERE {_INJECTED}")
 def injection_scan(spark: SparkSession, sf: str) -> DataFrame:
     return passages(spark, sf).where(T.injected("text")).select("chunk_id")

@@ -168,6 +168,12 @@ def metric_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.explode(T.metric_sentences("text")).alias("sentence"))
 
 
+@R.add(sql=f"SELECT DISTINCT paper_id, authors, part FROM (SELECT paper_id, authors, regexp_replace(regexp_replace(unnest(string_split(authors, ',')), '^{S.BLANK}', ''), '{S.BLANK}$', '') AS part FROM papers) WHERE part <> ''")
+def comma_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Author fields cut at commas alone."""
+    return table(spark, sf, "papers").select("paper_id", "authors", F.explode(T.listed("authors")).alias("part")).distinct()
+
+
 @R.add(sql=f"SELECT item_id, array_to_string(list_sort({S.content('question')}), ' ') AS content FROM gold_qa")
 def question_content(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "gold_qa").select("item_id", F.array_join(F.sort_array(T.content_words("question")), " ").alias("content"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import dense, fusion, metrics
+from ..operators import dense, fusion, gold, metrics
 from ..operators.lexical import Bm25, TfIdf, best
 from ..session import materialise, table
 from . import Registry
@@ -123,8 +123,9 @@ def minmax_scores(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.minmax(bm25_scores(spark, sf)).select("qid", "id", F.round("score", 6).alias("score"))
 
 
-_POOLS = f"""{S.bm25()}, {_DENSE}, lp AS (SELECT qid, id, score FROM ({S.top('bm25', POOL)}) WHERE score > 0), dp AS (SELECT qid, id, score FROM ({S.top('dense', POOL)})),
+_POOLS_OF = f"""{S.bm25()}, {_DENSE}, lp AS (SELECT qid, id, score FROM ({S.top('{0}', POOL)}) WHERE score > 0), dp AS (SELECT qid, id, score FROM ({S.top('{1}', POOL)})),
 lm AS ({S.minmax('lp')}), dm AS ({S.minmax('dp')})"""
+_POOLS = _POOLS_OF.replace("{0}", "bm25").replace("{1}", "dense")
 
 
 @R.add(sql=f"WITH {_POOLS}, f AS ({S.fuse('lm', 'dm', '0.5')}) {S.top('f', K)}")
@@ -151,13 +152,24 @@ def _pin(source: str, name: str) -> str:
 @R.add(sql=f"WITH {_ALLOWED}, {S.bm25()}, {_DENSE}, {_pin('bm25', 'bp')}, {_pin('dense', 'dq')}, lp AS (SELECT qid, id, score FROM ({S.top('bp', POOL)}) WHERE score > 0), dp AS (SELECT qid, id, score FROM ({S.top('dq', POOL)})), lm AS ({S.minmax('lp')}), dm AS ({S.minmax('dp')}), f AS ({S.fuse('lm', 'dm', '0.5')}) {S.top('f', K)}")
 def hybrid_pinned(spark: SparkSession, sf: str) -> DataFrame:
     """Both pools are restricted to the documents of the item's papers, before they are cut."""
-    gold = questions(spark, sf)
-    allowed = metrics.relevance(gold, "item_id", "relevant").withColumnRenamed("id", "paper_id").join(docs(spark, sf).select("doc_id", "paper_id"), "paper_id").select("qid", F.col("doc_id").alias("id")).distinct()
+    every, allowed = _dense_of_allowed(spark, sf)
+    return fusion.hybrid_pool(fusion.pinned(bm25_scores(spark, sf), allowed), fusion.pinned(every, allowed), LAMBDA, POOL, K)
+
+
+def _dense_of_allowed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    asked_of = questions(spark, sf)
+    allowed = metrics.relevance(asked_of, "item_id", "relevant").withColumnRenamed("id", "paper_id").join(docs(spark, sf).select("doc_id", "paper_id"), "paper_id").select("qid", F.col("doc_id").alias("id")).distinct()
     rows = dense.hash_embed(docs(spark, sf), "doc_id", "text").withColumnRenamed("doc_id", "id")
-    asked = dense.hash_embed(gold, "item_id", "question").withColumnRenamed("item_id", "qid")
+    asked = dense.hash_embed(asked_of, "item_id", "question").withColumnRenamed("item_id", "qid")
     allowed = materialise(allowed)
-    every, _ = dense.dense_over(rows, asked, allowed, POOL)
-    return fusion.hybrid_pool(fusion.pinned(bm25_scores(spark, sf), allowed), fusion.pinned(every, allowed), LAMBDA, POOL, K)
+    return dense.dense_over(rows, asked, allowed, POOL)[0], allowed
+
+
+@R.add(sql=f"WITH {_ALLOWED}, {_POOLS_OF.replace('{0}', 'bm25').replace('{1}', 'dq')}, f AS ({S.fuse('lm', 'dm', '0.5')}) {S.top('f', K)}".replace("dp AS (", _pin("dense", "dq") + ", dp AS (", 1))
+def hybrid_pinned_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """As the second layer pins: the dense pool alone is restricted, the lexical one isn't."""
+    every, allowed = _dense_of_allowed(spark, sf)
+    return fusion.hybrid_pool(bm25_scores(spark, sf), fusion.pinned(every, allowed), LAMBDA, POOL, K)
 
 
 _FIRST = f"""fr AS ({S.top('bm25', POOL)}), pf AS (SELECT qid, paper_id, min(rank) AS first FROM fr JOIN documents ON id = doc_id WHERE paper_id IS NOT NULL GROUP BY 1, 2),
@@ -261,6 +273,22 @@ def gold_targeted(spark: SparkSession, sf: str) -> DataFrame:
     return d.where(F.contains("low", F.col("term"))).select("topic", "term", "doc_id")
 
 
+@R.add(
+    sql=f"""WITH c AS (SELECT paper_id AS id, topic, lower(text) AS t, title FROM documents JOIN {_one_paper()} USING (paper_id) WHERE topic IS NOT NULL),
+tm AS (SELECT DISTINCT topic, term FROM (SELECT topic, unnest(string_split(topic, ' ')) AS term FROM c) WHERE length(term) > 3),
+tt AS (SELECT topic, id, min(title) AS title, row_number() OVER (PARTITION BY topic ORDER BY md5('7:' || id), id) AS n FROM c GROUP BY 1, 2)
+SELECT DISTINCT topic, 'broad' AS query_type, 'recent work on ' || topic AS query, id FROM c UNION ALL SELECT DISTINCT topic, 'targeted', term || ' ' || topic, id FROM c JOIN tm USING (topic) WHERE contains(t, term)
+UNION ALL SELECT topic, 'title', array_to_string(list_filter({S.words('lower(title)')}, lambda w: w NOT IN ({_STOP})), ' '), id FROM tt WHERE n <= 6"""
+)
+def gold_set(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions about every topic of the documents: one broad one, one for each longer word of its name, six titles."""
+    one = table(spark, sf, "papers").groupBy("paper_id").agg(F.min("title").alias("title"))
+    corpus = docs(spark, sf).join(one, "paper_id").select(F.col("paper_id").alias("id"), "topic", "title", "text")
+    topics = corpus.select("topic").where("topic IS NOT NULL").distinct()
+    terms = topics.select("topic", F.explode(F.split("topic", " ")).alias("term")).where(F.length("term") > 3).distinct()
+    return gold.gold_set(corpus, topics.select("topic", F.concat(F.lit("recent work on "), "topic").alias("query")), terms)
+
+
 @R.add(sql="SELECT topic, query_type, count(*) AS n FROM gold_qa GROUP BY 1, 2")
 def gold_counts(spark: SparkSession, sf: str) -> DataFrame:
     return questions(spark, sf).groupBy("topic", "query_type").agg(F.count("*").alias("n"))

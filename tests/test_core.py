@@ -516,3 +516,38 @@ def test_executor_takes_other_parts(spark, papers):
     assert given.ranked("vector_only").orderBy("rank").first().id == 1
     dropped = GraphRag(passages, questions, papers, none, keep=lambda rows: rows.limit(0))
     assert {r.answer for r in dropped.ask("hybrid").collect()} == {answers.NOTHING} and dropped.ask("hybrid").count() == 2
+
+
+def test_pairs_and_ranges_are_those_of_all_scores(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=5)]) for i in range(200)], "id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=5)]) for i in range(7)], "qid long, embedding array<double>")
+    pairs = spark.createDataFrame([(q, i) for q in range(7) for i in range(q, 200, 37)], "qid long, id long")
+    every = {(r.qid, r.id): r.score for r in dense.dense_topk(rows, asked, 200, exclude_self=False).collect()}
+    for block in (4096, 2):
+        found, ranges = dense.dense_over(rows, asked, pairs, 3, block=block)
+        got = {(r.qid, r.id): r.score for r in found.collect()}
+        assert all(every[k] == s for k, s in got.items()) and {tuple(r) for r in pairs.collect()} <= set(got)
+        assert {(r.qid, r.lo, r.hi) for r in ranges.collect()} == {(q, min(own), max(own)) for q in range(7) for own in [[s for (a, _), s in every.items() if a == q]]}
+        for q in range(7):
+            assert set(sorted((i for a, i in every if a == q), key=lambda i: (-every[q, i], i))[:3]) <= {i for a, i in got if a == q}
+
+
+def test_subgraph_equals_the_plain_rule(spark):
+    """A topic with many more papers than are listed, and authors and similarities across it."""
+    rng = random.Random(5)
+    own = [(f"p{i:03d}", f"T{i}", [f"a{rng.randint(0, 60)}"], "v", 2020, rng.choice(["big", "big", "big", "small", None])) for i in range(150)]
+    similar = [(f"p{rng.randint(0, 149):03d}", f"p{rng.randint(0, 149):03d}", round(rng.random(), 3)) for _ in range(200)]
+    similar = sorted({(a, b): s for a, b, s in similar if a != b}.items())
+    seeds = [(q, f"p{rng.randint(0, 149):03d}") for q in range(8) for _ in range(4)]
+    got = graph.weighted_subgraph(spark.createDataFrame(own, PAPER), spark.createDataFrame([(a, b, s) for (a, b), s in similar], "src string, dst string, score double"), spark.createDataFrame(seeds, "qid int, paper_id string")).collect()
+    for q in range(8):
+        mine, total = {s for a, s in seeds if a == q}, {}
+        for s in mine:
+            topic, authors = next((p[5], p[2]) for p in own if p[0] == s)
+            for p in own:
+                if p[0] not in mine:
+                    w = dict(similar).get((s, p[0]), 0) + 0.5 * (topic is not None and p[5] == topic) + 0.5 * bool(set(authors) & set(p[2]))
+                    total[p[0]] = total.get(p[0], 0) + w
+        want = sorted(((-round(w, 6), p) for p, w in total.items() if w), key=lambda x: x)[:6]
+        assert [(r.paper_id, r.score) for r in sorted(got, key=lambda r: r.place) if r.qid == q] == [(p, -w) for w, p in want]
