@@ -10,11 +10,13 @@ a window gives as many full windows as it fills, and its remainder is an item li
 from __future__ import annotations
 
 import heapq
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import TYPE_CHECKING
 
 import numpy as np
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,9 @@ if TYPE_CHECKING:
 CAPACITY = 2048
 #: Items of a group, on average. The room that a group's last window leaves is shared by so many.
 GROUP = 4096
-#: The public tokenizer's files are found here; they are not part of the repository.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Setting with the path of the public tokenizer's file on the driver, and its default; files aren't part of the
+#: repository.
+SETTING, TOKENIZER = "spark.skolion.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 @lru_cache(maxsize=2)
@@ -45,13 +48,20 @@ def counter(path: str) -> Callable[[str], int]:
     return lambda text: len(coder.encode_ordinary(text))
 
 
-def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(key, n_tokens) of every row over its whole text; null and empty texts have 0 tokens."""
+def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """(key, n_tokens) of every row over its whole text; null and empty texts have 0 tokens.
+
+    tokenizer: a path on the driver, else the session's setting; the file is shipped to the executors with the job.
+    """
+    spark = docs.sparkSession
+    path = tokenizer or spark.conf.get(SETTING, TOKENIZER)
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas as pd
 
-        tokens = counter(tokenizer)
+        tokens = counter(SparkFiles.get(name))
         for b in batches:
             yield pd.DataFrame({"item": b["item"], "n_tokens": [tokens(t) if t else 0 for t in b["t"]]})
 
