@@ -14,10 +14,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 from typing import TYPE_CHECKING
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .filters import bit_filter, passing
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -187,11 +189,20 @@ def recurring(found: DataFrame, widely: Recurrence) -> DataFrame:
     """(k, h, m) of the segments that recur widely.
 
     One shuffle of numbers, combined in the tasks first, so that a segment which a third of all documents hold is a
-    row a task; the least and the greatest source tell whether there are two.
+    row a task; the least and the greatest source tell whether there are two. Texts of other segments stay where they
+    are, but for those that pass a filter of fixed size.
     """
     by = found.groupBy("h").agg(F.count("*").alias("n"), F.min("src").alias("low"), F.max("src").alias("high"))
     wide = by.where(((F.col("n") >= widely.documents) & (F.col("low") < F.col("high"))) | (F.col("n") >= widely.alone)).select("h")
-    return found.select("k", "h", "m").join(wide, "h", "left_semi")
+    wide = materialise(wide)
+    bits = found.sparkSession.sparkContext.broadcast(bit_filter(wide))
+
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[passing(bits.value, b["h"].to_numpy(np.int64))]
+
+    rows = found.select("k", "h", "m")
+    return rows.mapInPandas(some, rows.schema).join(wide, "h", "left_semi")
 
 
 def messages(wide: DataFrame) -> DataFrame:

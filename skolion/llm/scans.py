@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, spread
+from .filters import BITS, bit_filter, passing
+from .filters import is_set as _set
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -41,8 +43,6 @@ RATIO, LEAST = 4, 3
 #: Known clean words that the second reading gets (about 20 MB in a worker): the vocabulary of the line model, and
 #: words that need no join. What other words mean is looked up in the counts of all words.
 KNOWN = 200_000
-#: Bits of the filters that spare joins what can't match; they let more pass as they fill up, and never less.
-BITS = 1 << 23
 #: Pages that the line model is trained on.
 SAMPLE = 400
 BIN = 4096
@@ -137,24 +137,6 @@ def corrections(word: str) -> Iterator[str]:
                 at = start.find(read, at + 1)
 
 
-def bit_filter(hashes: DataFrame) -> bytes:
-    """BITS bits, two of them set for every 64-bit hash of the one column; combined in the tasks before the shuffle."""
-    h = F.col(hashes.columns[0])
-    at = F.explode(F.array(*[F.pmod(x, F.lit(BITS)) for x in (h, F.shiftright(h, 32))])).alias("at")
-    words = hashes.select(at).select((F.col("at") / 64).cast("int").alias("i"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
-    rows, out = words.toPandas(), np.zeros(BITS // 64, np.int64)  # BITS / 64 rows at most
-    out[rows["i"].to_numpy(int)] = rows["b"].to_numpy(np.int64)
-    return out.tobytes()
-
-
-def _set(bits: bytes, h: int) -> bool:
-    a = h & (BITS - 1)
-    if not bits[a >> 3] >> (a & 7) & 1:
-        return False
-    a = h >> 32 & (BITS - 1)
-    return bool(bits[a >> 3] >> (a & 7) & 1)
-
-
 def misread(counts: DataFrame) -> DataFrame:
     """(word, good): words with a correction that is RATIO times as frequent; the most frequent one, then the first.
     Corrections that surely are no word are dropped where they are made, by a filter of fixed size."""
@@ -626,7 +608,7 @@ def repaired(pages: DataFrame, chunks: DataFrame) -> DataFrame:
 
     def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.loc[[_set(bits.value, int(h) % (1 << 64)) for h in b["h"]], ["uid", "text"]]
+            yield b.loc[passing(bits.value, b["h"].to_numpy(np.int64)), ["uid", "text"]]
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas as pd
