@@ -76,8 +76,9 @@ def weighted_subgraph(papers: DataFrame, similar: DataFrame, seeds: DataFrame, l
     Every seed adds its similarity edge, a share for the same topic and one for a common author. Seeds are
     counted by topic and author before they meet the papers.
     """
-    seeds = seeds.select("qid", F.col("paper_id").alias("seed")).distinct()
+    seeds = materialise(seeds.select("qid", F.col("paper_id").alias("seed")).distinct())
     sim = seeds.join(similar.withColumnRenamed("src", "seed"), "seed").select("qid", F.col("dst").alias("paper_id"), (w_similar * F.col("score")).alias("s"), F.lit("similar").alias("why"))
+    papers = materialise(papers.select("paper_id", "authors", "topic"))
     topics = papers.where("topic IS NOT NULL AND topic <> ''").select("paper_id", "topic")
     by_topic = seeds.join(topics.withColumnRenamed("paper_id", "seed"), "seed").groupBy("qid", "topic").agg((F.count("*") * w_topic).alias("s"))
     w = wrote(papers)
@@ -85,11 +86,12 @@ def weighted_subgraph(papers: DataFrame, similar: DataFrame, seeds: DataFrame, l
     author = shared.groupBy("qid", "paper_id").agg((F.count("*") * w_author).alias("s")).select("qid", "paper_id", "s", F.lit("author").alias("why"))
     # of the papers that only share a topic, as many as could be listed, first by id, stand for a topic; the others
     # get their topic's share where they are met anyway
+    near = materialise(sim.unionByName(author))
     most = limit + (seeds.groupBy("qid").count().agg(F.max("count")).first()[0] or 0)
     head = listing(topics.distinct(), "topic", ["paper_id"], most).select("topic", "paper_id")
-    met = sim.select("qid", "paper_id").unionByName(author.select("qid", "paper_id")).join(topics.distinct(), "paper_id").join(by_topic, ["qid", "topic"]).select("qid", "paper_id", "topic", "s")
+    met = near.select("qid", "paper_id").distinct().join(topics.distinct(), "paper_id").join(by_topic, ["qid", "topic"]).select("qid", "paper_id", "topic", "s")
     topic = by_topic.join(head, "topic").select("qid", "paper_id", "topic", "s").unionByName(met).distinct().select("qid", "paper_id", "s", F.lit("topic").alias("why"))
-    every = sim.unionByName(topic).unionByName(author).join(seeds.withColumnRenamed("seed", "paper_id"), ["qid", "paper_id"], "left_anti")
+    every = near.unionByName(topic).join(seeds.withColumnRenamed("seed", "paper_id"), ["qid", "paper_id"], "left_anti")
     total = every.groupBy("qid", "paper_id").agg(F.round(F.sum("s"), 6).alias("score"), F.array_join(F.sort_array(F.collect_set("why")), "+").alias("via"))
     return listing(total, "qid", [F.desc("score"), "paper_id"], limit)
 

@@ -71,6 +71,7 @@ def percentiles(rows: DataFrame, share: float) -> DataFrame:
 
 def summary(per_query: DataFrame, group: str, values: list[str]) -> DataFrame:
     """Means of the values by group and over all (group null), with an exact 95th percentile of the last."""
+    per_query = materialise(per_query.select(group, *values))  # a row a query, read in every round below
     means = [F.round(F.avg(v), 6).alias(v) for v in values]
     rows = per_query.groupingSets([[F.col(group)], []], F.col(group)).agg(F.count("*").alias("n"), *means, F.grouping(group).alias("overall"))
     both = F.explode(F.array(F.struct(F.col(group).alias("k"), F.lit(0).alias("overall")), F.struct(F.lit(None).cast(dict(per_query.dtypes)[group]).alias("k"), F.lit(1).alias("overall")))).alias("g")
