@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 if TYPE_CHECKING:
     import pyarrow as pa
 
@@ -69,8 +71,9 @@ class DeliveryLog:
         every = every.groupBy(F.col(_FILE), F.bitmap_bucket_number(position).alias("bucket")).agg(F.max(_ROW).alias("last"))
         return every.join(keep, [_FILE, "bucket"], "left")
 
-    def read(self, columns: list[str], surplus: bool = False) -> DataFrame:
-        """The given columns of the rows that stay, or of the surplus ones."""
+    def read(self, columns: list[str], surplus: bool = False, apart: bool = False) -> DataFrame:
+        """The given columns of the rows that stay, or of the surplus ones. apart: for work that costs much more than
+        the bitmaps' bytes tell, which would put all files in one task."""
         schema = T.StructType([self.frame.schema[c] for c in columns])
         names, opener = list(columns), self.opener
 
@@ -79,11 +82,11 @@ class DeliveryLog:
 
         work = self.bitmaps()
         task = F.floor((F.col("bucket") - 1) / BUCKETS_A_TASK)
-        work = work.repartition(F.col(_FILE), task).sortWithinPartitions(_FILE, "bucket")
+        work = (spread(work, F.col(_FILE), task) if apart else work.repartition(F.col(_FILE), task)).sortWithinPartitions(_FILE, "bucket")
         return work.select(_FILE, "bucket", "last", "keep").mapInArrow(rows, schema)
 
-    def kept(self, columns: list[str] | None = None) -> DataFrame:
-        return self.read(columns or self.frame.columns)
+    def kept(self, columns: list[str] | None = None, apart: bool = False) -> DataFrame:
+        return self.read(columns or self.frame.columns, apart=apart)
 
     def surplus(self, columns: list[str] | None = None) -> DataFrame:
         return self.read(columns or self.frame.columns, surplus=True)

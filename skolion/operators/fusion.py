@@ -73,8 +73,12 @@ def citations(ranked: DataFrame, chunks: DataFrame, papers: DataFrame) -> DataFr
 
     chunks: chunk_id, paper_id, page_start, page_end, text. papers: paper_id, title.
     """
-    meta = chunks.join(papers.select("paper_id", "title"), "paper_id", "left")
-    out = ranked.join(meta.withColumnRenamed("chunk_id", "id"), "id", "left")
+    return cited(ranked.join(chunks.withColumnRenamed("chunk_id", "id"), "id", "left"), papers)
+
+
+def cited(ranked: DataFrame, papers: DataFrame) -> DataFrame:
+    """The same for ranked chunks that have paper_id, page_start, page_end and text with them."""
+    out = ranked.join(papers.select("paper_id", "title"), "paper_id", "left")
     paper, title = F.coalesce("paper_id", F.lit("?")), F.coalesce("title", "paper_id", F.lit("?"))
     start, end = F.coalesce("page_start", F.lit(0)), F.coalesce("page_end", "page_start", F.lit(0))
     return out.select(

@@ -302,15 +302,14 @@ SELECT qid, rank, chunk_id, paper_id, title, score, page_range, CASE WHEN length
 )
 def batch_search(spark: SparkSession, sf: str) -> DataFrame:
     """Citations of the best chunks for every question: lexical pool over chunks, joined with their papers."""
-    chunks = chunk_table(spark, sf)
-    scores = Bm25(chunks, "chunk_id", "text").scores(questions(spark, sf), "item_id", "question")
-    return fusion.citations(best(scores, 5), chunks, table(spark, sf, "papers").groupBy("paper_id").agg(F.min("title").alias("title")))
+    hits = Bm25(chunk_table(spark, sf), "chunk_id", "text").top(questions(spark, sf), "item_id", "question", 5, ["paper_id", "page_start", "page_end", "text"])
+    return fusion.cited(hits, table(spark, sf, "papers").groupBy("paper_id").agg(F.min("title").alias("title")))
 
 
 def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
     from .records import delivery_log
 
-    return delivery_log(spark, sf, "chunks").kept(["chunk_id", "paper_id", "text", "page_start", "page_end"])
+    return delivery_log(spark, sf, "chunks").kept(["chunk_id", "paper_id", "text", "page_start", "page_end"], apart=True)
 
 
 

@@ -551,3 +551,26 @@ def test_subgraph_equals_the_plain_rule(spark):
                     total[p[0]] = total.get(p[0], 0) + w
         want = sorted(((-round(w, 6), p) for p, w in total.items() if w), key=lambda x: x)[:6]
         assert [(r.paper_id, r.score) for r in sorted(got, key=lambda r: r.place) if r.qid == q] == [(p, -w) for w, p in want]
+
+
+def test_bm25_best_of_every_task_is_best_of_all(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choices(words, range(30, 0, -1), k=rng.randint(0, 12))) for _ in range(400)] + ["w0 w1"] * 40 + [None]
+    docs = spark.createDataFrame([(f"d{i:03}", t, i) for i, t in enumerate(texts)], "id string, text string, place int")
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(words, k=4)) + " unknown") for i in range(20)] + [(20, None), (21, "w0 w1")], "qid int, q string")
+    lexical = Bm25(docs, "id", "text")
+    want = values(best(lexical.scores(asked, "qid", "q"), 5), "qid", "rank", "id", "score")
+    for block in (4096, 5):
+        found = lexical.top(asked, "qid", "q", 5, ["place"], block=block)
+        assert values(found, "qid", "rank", "id", "score") == [(q, r, i, pytest.approx(s, abs=2e-6)) for q, r, i, s in want]
+        assert all(r["id"] == f"d{r['place']:03}" for r in found.collect())
+    assert Bm25(docs.limit(0), "id", "text").top(asked, "qid", "q", 5).count() == 0
+
+
+def test_citations_read_the_deliveries_twice(spark, sf):
+    """Once for the counts, once for the scores; before, every use of the chunks read them again."""
+    from skolion.queries import retrieval
+
+    plan = retrieval.batch_search(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow rows(") == 1
