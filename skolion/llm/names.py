@@ -54,6 +54,12 @@ _SPELLED = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "å": "aa", "ø":
 _INITIALS = re.compile(r"^(?:[^\W\d_]\.-?){1,4}$|^[^\W\d_]\.?$")
 
 
+def met(df: DataFrame) -> DataFrame:
+    """df as the right side of a join with a table that grows with the names: by sorting, never sent through the
+    driver. Sizes are estimated from compressed names, and what is banded or paired is many times as large."""
+    return df.hint("merge")
+
+
 def fold(s: str) -> str:
     """Lower case without accents."""
     s = unicodedata.normalize("NFKD", s.lower().translate(_LETTERS))
@@ -251,7 +257,7 @@ def readings(spellings: DataFrame) -> DataFrame:
     each = F.explode(F.array(F.struct(F.col("first").alias("t"), F.lit(1).alias("f"), F.lit(0).alias("l")), F.struct(F.col("last").alias("t"), F.lit(0).alias("f"), F.lit(1).alias("l"))))
     places = parsed.where("ahead").select(each.alias("x")).select("x.*").where("t <> ''").groupBy("t").agg(F.sum("f").alias("f"), F.sum("l").alias("l"))
     odds = places.select("t", F.log((F.col("f") + 0.5) / (F.col("l") + 0.5)).alias("odds"))
-    of = lambda c: odds.select(F.col("t").alias(c), F.col("odds").alias(f"of_{c}"))
+    of = lambda c: met(odds.select(F.col("t").alias(c), F.col("odds").alias(f"of_{c}")))
     open_ = parsed.where("open").join(of("first"), "first").join(of("last"), "last").where(F.col("ahead") == (F.col("of_first") >= F.col("of_last")))
     wanted = ["name", "weight", *[c.split()[0] for c in _READ.split(", ")]]
     # 64 bits of the whole reading stand for it in what follows
@@ -272,7 +278,7 @@ def summaries(rows: DataFrame) -> DataFrame:
     by_given = pairs.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("g_with"))
     by_surname = pairs.groupBy("s").agg(F.count("g").alias("s_with"), F.sum("ways").alias("s_ways"))
     both = nodes.withColumn("g", F.when((F.col("kind") == "p") & (F.size("givens") > 0), given)).withColumn("s", surname)
-    out = both.join(by_given, "g", "left").join(by_surname, "s", "left").join(pairs.where("g IS NOT NULL").withColumnRenamed("ways", "g_ways"), ["g", "s"], "left")
+    out = both.join(met(by_given), "g", "left").join(met(by_surname), "s", "left").join(met(pairs.where("g IS NOT NULL").withColumnRenamed("ways", "g_ways")), ["g", "s"], "left")
     return out.drop("g", "s").fillna(0, ["g_with", "s_with", "s_ways", "g_ways"])
 
 
@@ -324,16 +330,16 @@ def candidates(summary: DataFrame, banding: Banding = Banding()) -> DataFrame:
 
     parts = keys.select("part", "salt", "text", F.xxhash64("salt").alias("under")).distinct()
     shared = parts.groupBy("under").count().where("count > 1").select("under")  # a part alone under its salt meets none
-    parts = spread(parts.join(shared, "under", "left_semi").select("part", "salt", "text"))
+    parts = spread(parts.join(met(shared), "under", "left_semi").select("part", "salt", "text"))
     banded = materialise(parts.mapInPandas(band, "part bigint, band bigint, len int"))
     one, other = (banded.select(F.col("part").alias(c), "band", F.col("len").alias(f"len_{c}")) for c in "pq")
-    near = one.join(other, "band").where("p < q AND abs(len_p - len_q) <= 1").select("p", "q").distinct()
+    near = one.join(met(other), "band").where("p < q AND abs(len_p - len_q) <= 1").select("p", "q").distinct()
     near = materialise(near)
     both = near.unionByName(near.select(F.col("q").alias("p"), F.col("p").alias("q"))).unionByName(keys.select(F.col("part").alias("p"), F.col("part").alias("q")).distinct())
     side = lambda n, p: keys.select(F.col("node").alias(n), F.col("part").alias(p), F.col("solo").alias(f"solo_{n}"), F.substring("salt", 1, 1).alias(f"of_{n}"))
     first, second = side("a", "p"), side("b", "q")
-    sets = first.where("of_a <> 'i'").join(both, "p").join(second, "q").where("a < b")
-    solo = first.where("solo_a").join(both, "p").join(second, "q").where("a <> b")
+    sets = first.where("of_a <> 'i'").join(met(both), "p").join(met(second), "q").where("a < b")
+    solo = first.where("solo_a").join(met(both), "p").join(met(second), "q").where("a <> b")
     return sets.select("a", "b").unionByName(solo.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
@@ -385,7 +391,7 @@ def similarity(a, b) -> float:  # noqa: ANN001
 def linked(summary: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity): candidate pairs that may be forms of the same name."""
     wanted = ("kind", "givens", "initials", "surnames", "g_with", "s_with", "g_ways", "s_ways")
-    facts = lambda s: summary.select(F.col("node").alias(s), F.struct(*wanted).alias(f"f{s}"))
+    facts = lambda s: met(summary.select(F.col("node").alias(s), F.struct(*wanted).alias(f"f{s}")))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas as pd
@@ -408,18 +414,18 @@ def stars(weights: DataFrame, edges: DataFrame) -> DataFrame:
     """
     w = weights.select("node", "weight")
     both = edges.select("a", "b", "similarity").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    heavy = both.join(w.select(F.col("node").alias("a"), F.col("weight").alias("wa")), "a").join(w.select(F.col("node").alias("b"), F.col("weight").alias("wb")), "b")
+    heavy = both.join(met(w.select(F.col("node").alias("a"), F.col("weight").alias("wa"))), "a").join(met(w.select(F.col("node").alias("b"), F.col("weight").alias("wb"))), "b")
     open_ = materialise(heavy.select("a", "b", "similarity", "wb", ((F.col("wb") > F.col("wa")) | ((F.col("wb") == F.col("wa")) & (F.col("b") < F.col("a")))).alias("up")))
     done = None
     while not open_.isEmpty():
         centres = open_.groupBy("a").agg(F.max("up").alias("up")).where("NOT up").select(F.col("a").alias("centre"))
         best = F.max_by("b", F.struct("similarity", "wb", "b"))
-        taken = open_.join(centres, open_["b"] == centres["centre"]).groupBy("a").agg(best.alias("centre"), F.count_if(F.col("similarity") >= 1).alias("whole"))
+        taken = open_.join(met(centres), F.col("b") == F.col("centre")).groupBy("a").agg(best.alias("centre"), F.count_if(F.col("similarity") >= 1).alias("whole"))
         taken = taken.select(F.col("a").alias("node"), F.when(F.col("whole") > 1, F.col("a")).otherwise(F.col("centre")).alias("centre"))
         one = materialise(taken.unionByName(centres.select(F.col("centre").alias("node"), "centre")))
         done = one if done is None else done.unionByName(one)
         gone = one.select("node")
-        open_ = materialise(open_.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti"))
+        open_ = materialise(open_.join(met(gone.withColumnRenamed("node", "a")), "a", "left_anti").join(met(gone.withColumnRenamed("node", "b")), "b", "left_anti"))
     return done if done is not None else w.select("node", F.col("node").alias("centre")).limit(0)
 
 
@@ -438,11 +444,11 @@ def entities(spellings: DataFrame, least: float = 0.88) -> DataFrame:
     # whole names before nicknames before initials; then what is spelled in more ways, linked more, and seen more
     rank = F.when(F.size("givens") == 0, 0).when(F.col("nick"), 1).otherwise(2)
     weight = F.struct(rank.alias("rank"), "spelled", F.coalesce("degree", F.lit(0)).alias("degree"), "seen")
-    homes = stars(summary.join(degree, "node", "left").select("node", weight.alias("weight")), links)
-    return rows.join(homes, "node", "left").select("name", F.when(named, F.hex(F.coalesce("centre", "node"))).otherwise(F.concat(F.lit("?|"), "name")).alias("entity"))
+    homes = stars(summary.join(met(degree), "node", "left").select("node", weight.alias("weight")), links)
+    return rows.join(met(homes), "node", "left").select("name", F.when(named, F.hex(F.coalesce("centre", "node"))).otherwise(F.concat(F.lit("?|"), "name")).alias("entity"))
 
 
 def variant_pairs(found: DataFrame) -> DataFrame:
     """(name_a, name_b), a before b: every pair of different spellings of one entity, once."""
     a, b = found.select(F.col("name").alias("name_a"), "entity"), found.select(F.col("name").alias("name_b"), "entity")
-    return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b")
+    return a.join(met(b), "entity").where("name_a < name_b").select("name_a", "name_b")

@@ -289,6 +289,17 @@ def test_organisations_of_different_kinds_stay_apart(spark):
     assert len(_entities(spark, ["Denagate Academy of Language Technology", "Denagate University of Language Technology", "The Denagate Univ. of Language Technology"])) == 2
 
 
+def test_no_table_of_names_goes_through_the_driver(spark):
+    people = [f"{given} {last}" for given in ("John", "Jane", "Jon") for last in ("Smithson", "Smithsen", "Doerfler")] + ["J. Doerfler"]
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    names.variant_pairs(names.entities(spark.createDataFrame([(n,) for n in people], "name string"))).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = store.executionsList(int(before), 1000)
+    assert plans.size() > 5
+    assert not [i for i in range(plans.size()) if "BroadcastExchange" in plans.apply(i).physicalPlanDescription()]
+
+
 def test_stars_close_every_edge(spark):
     """A chain of falling weights needs a round for every second node."""
     n = 34
