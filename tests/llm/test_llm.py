@@ -170,6 +170,27 @@ def test_tree_recall(spark):
     assert similar.neighbours(df.limit(0)).count() == 0
 
 
+def test_tasks_hold_no_vector_once_a_visit(spark):
+    """Frames have a row a vector, however many leaves it visits, and a leaf's visitors aren't all doubles at once."""
+    import tracemalloc
+
+    import pandas as pd
+
+    x = similar._unit(np.random.default_rng(2).normal(size=(3000, 64)))
+    tree = similar.fit(x, 8, 8)
+    rows = pd.DataFrame({"unit": np.arange(3000), "v": list(x.astype(np.float32))})
+    find = similar._visitor(tree, 40)
+    found = similar.visited(rows, "top", find)
+    assert len(found) == len(rows) and all(len(set(at)) == 40 for at in found["top"])
+    many = np.empty(12_000, object)
+    many[:] = list(np.random.default_rng(3).normal(size=(12_000, 384)).astype(np.float32))
+    tracemalloc.start()
+    got = similar.nearest(np.arange(12_000), many, np.arange(12_000) >= 500, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 8 * 11_500 and peak < 11_500 * 384 * 8
+
+
 def test_leaves_grow_with_the_table(spark):
     """The sample of each tree is fixed; twice as many rows have about twice as many leaves, of the same size."""
     rng = np.random.default_rng(4)
